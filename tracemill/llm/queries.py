@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_decontamination
+from .fingerprints import op8_fingerprints
+from .licenses import OP5_SQL, op5_licenses
+from .lines import OP4_SQL, op4_lines
 from .packing import op6_packing
 from .pii import op2_pii
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
+    "op4_lines": op4_lines,
+    "op5_licenses": op5_licenses,
     "op6_packing": op6_packing,
+    "op8_fingerprints": op8_fingerprints,
     "op9_toxicity": op9_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_lines": OP4_SQL, "op5_licenses": OP5_SQL}
