@@ -126,9 +126,9 @@ def _op5_sql() -> str:
     return f"""
 WITH known(id, plain) AS (VALUES {known}),
 cut AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;:])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> '') AS sentences FROM documents),
-each AS (SELECT doc_id, rid, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS at FROM cut),
-named AS (SELECT doc_id, rid, at, coalesce(k.id, '{_BREAK}') AS id FROM each LEFT JOIN known k ON k.plain = trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AND length(s) <= {2 * max(map(len, SENTENCES.values()))}),
-seq AS (SELECT doc_id, rid, list(id ORDER BY at) AS ids FROM named GROUP BY ALL HAVING bool_or(id <> '{_BREAK}')),
+each AS (SELECT doc_id, rid, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS pos FROM cut),
+named AS (SELECT doc_id, rid, pos, coalesce(k.id, '{_BREAK}') AS id FROM each LEFT JOIN known k ON k.plain = trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AND length(s) <= {2 * max(map(len, SENTENCES.values()))}),
+seq AS (SELECT doc_id, rid, list(id ORDER BY pos) AS ids FROM named GROUP BY ALL HAVING bool_or(id <> '{_BREAK}')),
 begun AS (SELECT doc_id, ids, {rest} AS rest, []::VARCHAR[] AS names FROM seq),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ',') AS licenses,
