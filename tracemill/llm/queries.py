@@ -6,6 +6,7 @@ from .decontamination import op1_decontamination
 from .fingerprints import op8_fingerprints
 from .licenses import OP5_SQL, op5_licenses
 from .lines import OP4_SQL, op4_lines
+from .near_duplicates import op3_near_duplicates
 from .packing import op6_packing
 from .pii import op2_pii
 from .toxicity import op9_toxicity
@@ -13,6 +14,7 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_lines": op4_lines,
     "op5_licenses": op5_licenses,
     "op6_packing": op6_packing,
