@@ -23,11 +23,25 @@ from pyspark.sql import functions as F
 
 from .common import doc_crc, documents, text_of
 
-SIZES, HASH_BITS = (3, 4, 5), 22
+SIZES, HASH_BITS = (3, 4, 5), 20
+#: Characters taken at a time, so that a batch of long texts doesn't fill the worker's memory.
+CHUNK_CHARS = 1_000_000
 MAX_ROWS, MAX_FEATURES, THRESHOLD = 20_000, 4096, 0.7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``CHUNK_CHARS`` characters, one text at least."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        if k > begin and size + len(text) > CHUNK_CHARS:
+            yield begin, k
+            begin, size = k, 0
+        size += len(text)
+    if texts:
+        yield begin, len(texts)
+
+
 def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed n-gram, row) at every position of every text, as two flat arrays."""
     raw = [t.encode("utf-8", "replace").lower() for t in texts]
@@ -66,10 +80,13 @@ class ToxicityModel:
 
 
 def _active(lookup: np.ndarray, n: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    codes, rows = gram_codes(texts)
-    found = lookup[codes]
-    hit = found >= 0
-    pairs = np.unique(rows[hit].astype(np.int64) * max(n, 1) + found[hit])
+    found = [np.zeros(0, np.int64)]
+    for a, b in chunks(texts):
+        codes, rows = gram_codes(texts[a:b])
+        feature = lookup[codes]
+        hit = feature >= 0
+        found.append(np.unique((rows[hit].astype(np.int64) + a) * max(n, 1) + feature[hit]))
+    pairs = np.concatenate(found)
     return pairs // max(n, 1), pairs % max(n, 1)
 
 
@@ -77,11 +94,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_class = np.zeros((2, 1 << HASH_BITS), dtype=np.int32)
     for batch in batches:
         label = np.array(batch.column("label").to_pylist(), dtype=np.int64)
-        codes, rows = gram_codes(batch.column("text").to_pylist())
-        pairs = np.unique(rows.astype(np.int64) << HASH_BITS | codes)
-        row, code = pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
-        for c in (0, 1):
-            by_class[c] += np.bincount(code[label[row] == c], minlength=1 << HASH_BITS).astype(np.int32)
+        texts = batch.column("text").to_pylist()
+        for a, b in chunks(texts):
+            codes, rows = gram_codes(texts[a:b])
+            pairs = np.unique(rows.astype(np.int64) << HASH_BITS | codes)
+            row, code = pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
+            for c in (0, 1):
+                seen, times = np.unique(code[label[a:b][row] == c], return_counts=True)
+                by_class[c, seen] += times.astype(np.int32)
     grams = np.flatnonzero(by_class.sum(axis=0))
     for k in range(0, len(grams), 50_000):
         g = grams[k : k + 50_000]
@@ -152,8 +172,7 @@ def _scorer(model: ToxicityModel):
         lookup[model.grams] = np.arange(len(model.grams), dtype=np.int32)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            scores = np.concatenate([model.score(texts[k : k + 500], lookup) for k in range(0, len(texts), 500)]) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(scores)], names=["kept", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(model.score(texts, lookup))], names=["kept", "score"])
 
     return run
 
