@@ -15,7 +15,8 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     spreads it can be split where one node has very many edges.
     """
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    # Stored, so that both sides of the join are plain exchanges, whose large partitions Spark can split.
+    least = store(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "least")
     spread = both.join(least, "a")
     moved = spread.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")) if large else spread.select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(least.select("a", F.col("low").alias("b")))
     return moved.where("a <> b").distinct()

@@ -107,24 +107,47 @@ def _signer(size: int, bands: int, rows: int):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, r::rows])
             band[full], sketch[full] = key.view(np.int64), odd_sketches(minima)
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
 
         def lists(values: np.ndarray, width: int) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * width, pa.int32()), pa.array(values.ravel()))
 
-        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
-        return [pa.array(sizes), pa.array(node, pa.binary()), lists(band, bands), lists(sketch, SKETCH_BITS // 64), held]
+        return [pa.array(sizes), _nodes(sets), lists(band, bands), lists(sketch, SKETCH_BITS // 64)]
 
     return run
 
 
-_SIGNED = ("n_shingles", "node", "bands", "sketch", "shingles")
+_SIGNED = ("n_shingles", "node", "bands", "sketch")
+
+
+def _nodes(sets: list[np.ndarray]) -> pa.Array:
+    """128-bit names of sets; none for the empty one."""
+    return pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+
+
+def _set_reader(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _WordHashes()
+        for batch in batches:
+            for k in range(0, len(batch), 200):
+                part = batch.slice(k, 200)
+                sets = [shingle_set(t, size, cache) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)])
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("wanted"), _nodes(sets), held], names=["wanted", "node", "shingles"])
+
+    return run
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes (doc_id, node), from the texts of documents that stand for them."""
+    slim = docs.select("doc_id", text_of().alias("text")).join(wanted.select("doc_id", F.col("node").alias("wanted")), "doc_id")
+    read = slim.select("wanted", "text").mapInArrow(_set_reader(size), "wanted binary, node binary, shingles array<long>")
+    return read.where("node = wanted").select("node", "shingles").dropDuplicates(["node"])
 
 
 def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     slim = docs.select("doc_id", text_of().alias("text"))
-    return slim.mapInArrow(_signer(size, bands, rows), f"doc_id {dict(slim.dtypes)['doc_id']}, n_shingles long, node binary, bands array<long>, sketch array<long>, shingles array<long>")
+    return slim.mapInArrow(_signer(size, bands, rows), f"doc_id {dict(slim.dtypes)['doc_id']}, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
 def estimated_similarity(a: Column, b: Column, samples: int, bits: int = SKETCH_BITS) -> Column:
@@ -143,43 +166,41 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
         .where(estimated_similarity(F.col("sketch_a"), F.col("sketch_b"), samples) >= margin)
         .select("a", "b")
     )
-    likely = store(likely, "likely")
-    ends = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct()
-    needed = store(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    both = likely.join(needed.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(needed.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     return store(both.where(100 * shared >= percent * union).select("a", "b"), "links")
 
 
-def link(signed: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, root): components over all nodes that have links. ``signed``: stored :func:`signatures`."""
-    filled = signed.where("n_shingles > 0")
-    nodes = store(filled.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    sets = filled.select("node", "shingles")
+def link(docs: DataFrame, signed: DataFrame, size: int = SIZE, percent: int = PERCENT, samples: int = BANDS * ROWS) -> DataFrame:
+    """(node, root): components over all nodes that have links. ``signed``: stored :func:`signatures` of ``docs``.
+
+    What two sides of a join have aggregated is stored first, so that Spark can split the join at a hot key.
+    """
+    filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    nodes = store(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
+    shared = store(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket"), "shared")
     crowded = store(entries.join(shared, "bucket"), "buckets")
+    candidates = store(nodes.select("node", "doc_id", "sketch").join(crowded.select("node").distinct(), "node", "left_semi"), "candidates")
+    sets = store(full_sets(docs, candidates, size), "sets")
     sizes_fit = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
-    links, roots = None, crowded.select("node", F.col("node").alias("root")).limit(0)
-
-    def ordered(x: Column, y: Column) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    links, roots = None, None
 
     for turn in range(STAR_ROUNDS + 1):
-        placed = crowded.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        placed = crowded.withColumn("root", F.col("node")) if roots is None else store(crowded.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
         if turn < STAR_ROUNDS:
             pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "root")).alias("p")
             other = placed.groupBy("bucket").agg(pivot).select("bucket", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.root").alias("other_root"))
-            met = placed.join(other, "bucket").where("root <> other_root")
+            met = placed.join(store(other, "pivots"), "bucket").where("root <> other_root")
         else:
             # Only buckets that still hold two components have anything left to compare.
             open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-            left = store(placed.join(open_buckets, "bucket"), "open")
+            left = store(placed.join(store(open_buckets, "open"), "bucket"), "left")
             right = left.select("bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
             met = left.join(right, "bucket").where("root < other_root")
-        pairs = met.where(sizes_fit).select(*ordered(F.col("node"), F.col("other"))).distinct()
-        found = _confirmed(pairs, nodes, sets, percent, bands * rows)
+        pairs = met.where(sizes_fit).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        found = _confirmed(pairs, candidates, sets, percent, samples)
         links = found if links is None else links.unionAll(found)
         roots = connected_components(links)
     return roots
@@ -188,13 +209,13 @@ def link(signed: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document: component_id is the least id it can reach by links."""
     signed = store(signatures(docs, size, bands, rows), "signatures")
-    roots = link(signed, percent, bands, rows)
+    roots = link(docs, signed, size, percent, bands * rows)
     own = signed.select("doc_id", "n_shingles", "node")
     filled = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = filled.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = store(least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     top = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = rooted.join(top, "root").select("node", "component_id")
+    by_node = store(rooted.join(top, "root").select("node", "component_id"), "components")
     linked = filled.join(by_node, "node").select("doc_id", "n_shingles", "component_id")
     alone = own.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
