@@ -9,6 +9,7 @@ from .lines import OP4_SQL, op4_lines
 from .near_duplicates import op3_near_duplicates
 from .packing import op6_packing
 from .pii import op2_pii
+from .repeats import op7_repeats
 from .toxicity import op9_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_lines": op4_lines,
     "op5_licenses": op5_licenses,
     "op6_packing": op6_packing,
+    "op7_repeats": op7_repeats,
     "op8_fingerprints": op8_fingerprints,
     "op9_toxicity": op9_toxicity,
 }
