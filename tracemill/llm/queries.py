@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op1_decontamination
 from .fingerprints import op8_fingerprints
+from .language_model import op10_language_model
 from .licenses import OP5_SQL, op5_licenses
 from .lines import OP4_SQL, op4_lines
 from .near_duplicates import op3_near_duplicates
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_repeats": op7_repeats,
     "op8_fingerprints": op8_fingerprints,
     "op9_toxicity": op9_toxicity,
+    "op10_language_model": op10_language_model,
 }
 ORACLE_SQL = {"op4_lines": OP4_SQL, "op5_licenses": OP5_SQL}
