@@ -6,13 +6,14 @@ sketch) they give a precise estimate of high similarities from the population co
 Candidates are nodes that share a bucket; sizes and odd sketches sift them, and the exact similarity of
 the full sets decides every link.
 
-Buckets may hold a third of all nodes, so pairs within one are never all made. In ``STAR_ROUNDS`` rounds
-each bucket's nodes are compared with one pivot only, and links join nodes into components: first with the
-node that shares most buckets with others, as the text that a group was copied from does, then with
-another drawn by hash. Then only
-nodes that share a bucket and still lie in different components are compared, so no link between
-components is lost. With similarity 0.8 a link misses all 40 bands of five with probability 1.2e-7; the
-sketch sift sits five standard deviations below the threshold.
+Buckets may hold a third of all nodes, so pairs within one are never all made. First each bucket's nodes
+are compared with one pivot only, the node that shares most buckets with others, as the text that a group
+was copied from does, and links join nodes into components. Nodes of buckets that still hold several
+components then meet on their rare shingles: sets with a similarity of t or more share one of the
+n - ceil(t * n) + 1 shingles that come first in any order common to all, here the rarest first, so no
+link between components is lost, and texts that differ in their own words don't meet. With similarity
+0.8 a link misses all 40 bands of five with probability 1.2e-7; the sketch sift sits five standard
+deviations below the threshold.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; repeated rows and
 equal sets are linked; rows without an id get no component and are kept; an empty table gives an empty
@@ -34,7 +35,7 @@ from .components import connected_components
 
 SIZE, PERCENT = 2, 80
 BANDS, ROWS, SKETCH_BITS = 40, 5, 1024
-SIFT, STAR_ROUNDS = 0.65, 2
+SIFT = 0.65
 _SEED = 20240501
 _CHUNK = 200_000  # shingles hashed at a time
 
@@ -188,27 +189,36 @@ def link(docs: DataFrame, signed: DataFrame, size: int = SIZE, percent: int = PE
     crowded = store(full.join(central, "node").select("bucket", "node", "n", "met"), "buckets")
     candidates = store(nodes.select("node", "doc_id", "sketch").join(crowded.select("node").distinct(), "node", "left_semi"), "candidates")
     sets = store(full_sets(docs, candidates, size), "sets")
-    sizes_fit = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
-    links, roots = None, None
-
-    for turn in range(STAR_ROUNDS + 1):
-        placed = crowded.withColumn("root", F.col("node")) if roots is None else store(crowded.join(roots, "node", "left").select("bucket", "node", "n", "met", F.coalesce("root", "node").alias("root")), "placed")
-        if turn < STAR_ROUNDS:
-            order = -F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            pivot = F.min(F.struct(order.alias("draw"), "node", "n", "root")).alias("p")
-            other = placed.groupBy("bucket").agg(pivot).select("bucket", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.root").alias("other_root"))
-            met = placed.join(store(other, "pivots"), "bucket").where("root <> other_root")
-        else:
-            # Only buckets that still hold two components have anything left to compare.
-            open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-            left = store(placed.join(store(open_buckets, "open"), "bucket"), "left")
-            right = left.select("bucket", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-            met = left.join(right, "bucket").where("root < other_root")
-        pairs = met.where(sizes_fit).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        found = _confirmed(pairs, candidates, sets, percent, samples)
-        links = found if links is None else links.unionAll(found)
-        roots = connected_components(links)
-    return roots
+    central = F.min(F.struct((-F.col("met")).alias("draw"), "node", "n")).alias("p")
+    pivots = store(crowded.groupBy("bucket").agg(central).select("bucket", F.col("p.node").alias("other"), F.col("p.n").alias("other_n")), "pivots")
+    met = crowded.join(pivots, "bucket").where("node <> other").where(_sizes_fit(percent))
+    pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = _confirmed(pairs, candidates, sets, percent, samples)
+    roots = connected_components(links)
+
+    placed = store(crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "placed")
+    still = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    unmet = store(placed.join(store(still, "open"), "bucket").select("node", "root").distinct(), "unmet")
+    heads = store(rare_shingles(sets.join(unmet, "node"), percent), "heads")
+    others = heads.select("shingle", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("place").alias("other_place"))
+    # Nothing before the first shared shingle is shared, so both rests must be long enough for the overlap that a link needs.
+    can_reach = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) >= percent * (F.col("n") + F.col("other_n"))
+    pairs = heads.join(others, "shingle").where("root < other_root").where(_sizes_fit(percent) & can_reach).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return connected_components(links.unionAll(_confirmed(pairs, candidates, sets, percent, samples)))
+
+
+def _sizes_fit(percent: int) -> Column:
+    return F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root, n, place, shingle): of each set of (node, root, shingles) the rarest with their place from 0, of which it shares one with every set it can be linked with."""
+    entries = store(sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "entries")
+    counted = store(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "holders")
+    held = entries.join(counted, "shingle", "left").select("node", "root", "n", F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "shingle").alias("entry"))
+    head = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    first = held.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list("entry")).alias("entries")).select("node", "root", "n", F.posexplode(F.slice("entries", F.lit(1), head)).alias("place", "entry"))
+    return first.where("entry.holders > 1").select("node", "root", "n", "place", F.col("entry.shingle").alias("shingle"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
