@@ -130,7 +130,7 @@ def _finding(rule: Rule) -> Column:
         held,
         F.struct(
             F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"), F.lit(rule.technique).cast("string").alias("technique"),
-            hit["value"].alias("matched_value"), T.context(hit["text"], hit["value"]).alias("matched_context"),
+            hit.alias("hit"),
         ),
     )
 
@@ -141,7 +141,10 @@ def detect(events: DataFrame, rules: Iterable[Rule], distinct: bool = True) -> D
     The deduplication keeps the least ``ord`` by a partial aggregation, so a group of repeats of any size is
     folded where it lies before it is shuffled.
     """
-    found = events.select(*COLUMNS, F.explode(F.array_compact(F.array(*[_finding(r) for r in rules]))).alias("f")).select(*COLUMNS, "f.*")
+    found = events.select(*COLUMNS, F.explode(F.array_compact(F.array(*[_finding(r) for r in rules]))).alias("f"))
+    # The context is cut from rows that match only, after the explosion.
+    value, text = F.col("f.hit.value"), F.col("f.hit.text")
+    found = found.select(*COLUMNS, *[f"f.{c}" for c in ("rule_id", "rule_name", "severity", "technique")], value.alias("matched_value"), T.context(text, value).alias("matched_context"))
     if not distinct:
         return found
     key = ("rule_id", "timestamp", "host", "source", "event_id", "matched_value")
