@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
-from tracemill.operators import correlation, rules, sessions
+from tracemill.operators import correlation, rules, scenarios, sessions
 from tracemill.operators.rules import Condition, Rule
-from tracemill.plans.engine import Link, analyse
+from tracemill.plans.engine import DEFAULT_LINKS, Link, analyse, correlate
 from tracemill.sources import events as sources
 from tracemill.streaming import detection
 
@@ -95,6 +95,37 @@ def test_interval_edges(spark):
     assert [r.b_ord for r in pairs] == [1, 2]
 
 
+def test_sigma_rules():
+    document = {"title": "Download", "level": "fatal", "tags": ["attack.execution", "attack.t1105"], "detection": {"sel": {"CommandLine|contains": ["curl", "wget"]}, "condition": "sel"}}
+    rule = rules.sigma_rule(document)
+    assert (rule.id, rule.pattern, rule.operator, rule.severity, rule.technique) == ("Download", "curl|wget", "contains", "critical", "T1105")
+    for detection in ({"sel": {"Image|contains": "x"}, "condition": "sel"}, {"sel": {"CommandLine|contains": "x"}, "other": {}, "condition": "sel"}, {"sel": {"CommandLine|contains": "a|b"}, "condition": "sel"}, {"condition": "not sel"}):
+        with pytest.raises(ValueError):
+            rules.sigma_rule({"title": "x", "detection": detection})
+
+
+def test_scenarios(spark):
+    chains = spark.createDataFrame([("a", "download"), ("b", "other"), (None, "download")], "host string, kind string")
+    findings = spark.createDataFrame([("a", "t1059.001"), ("a", "T1105"), ("b", "T1105"), (None, "T1105"), ("c", "T1105"), ("b", None)], "host string, technique string")
+    templates = [
+        scenarios.template_of({"id": "P", "title": "parent", "required_techniques": "T1059", "optional_techniques": ["T1059.001"], "chain_patterns": ["download"]}),
+        scenarios.Template("B", "broad", ("T1059",)),  # the part isn't named by the template, so it doesn't count
+        scenarios.Template("D", "download", ("T1105",)),
+    ]
+    found = scenarios.infer(chains, findings, templates, ["host"]).orderBy("host", "template_id").collect()
+    assert [(r.host, r.template_id, r.techniques, r.n_chains, r.confidence) for r in found] == [("a", "D", ["T1105"], 1, 0.74), ("a", "P", ["T1059.001"], 1, 0.64), ("b", "D", ["T1105"], 1, 0.74)]
+    assert scenarios.infer(chains.limit(0), findings, templates, ["host"]).count() == 0
+    with pytest.raises(ValueError):
+        scenarios.template_of({"id": "x", "name": "x"})
+
+
+def test_default_links(spark):
+    events = [(0, 0, "Net", "1", "curl http://x", "WS", "u"), (1, 5_000_000, "Security", "4688", None, "ws", "v"), (2, 9_000_000, "ProcessCreate", "9", "", "other", "u")]
+    frame = spark.createDataFrame(events, "ord long, ts_us long, source string, event_id string, command_line string, host string, user string")
+    none = spark.createDataFrame([], "ord long, severity string")
+    assert [(r.kind, r.a_ord, r.n_events) for r in correlate(frame, none, DEFAULT_LINKS).collect()] == [("download_exec", 0, 2)]
+
+
 def test_chain_confidence(spark):
     value = correlation.chain_confidence(F.lit(2), F.lit(30_000_000), F.lit(0.2), F.lit(1))
     zero = correlation.chain_confidence(F.lit(2), F.lit(0), F.lit(0.2), F.lit(1))

@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 SECOND = 1_000_000
 
 
+def fits(patterns: Sequence[str]) -> Column:
+    """Whether an event fits a pattern: ``event_id:`` in full, ``cmd:`` within its command line, ``source:`` or none within its source."""
+    found = F.lit(False)
+    for pattern in patterns:
+        prefix, sign, rest = pattern.partition(":")
+        name = {"source": "source", "event_id": "event_id", "cmd": "command_line"}.get(prefix) if sign else None
+        column, wanted = F.col(name or "source"), rest if name else pattern
+        held = (column == wanted) if name == "event_id" else F.contains(F.lower(column), F.lit(wanted.lower()))
+        found = found | F.coalesce(held & (column != ""), F.lit(False))
+    return found
+
+
 def interval_join(first: DataFrame, second: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
     """Pairs of a first event and a later second one within ``seconds``, equal in ``keys``.
 

@@ -17,6 +17,8 @@ from tracemill.sources.events import COLUMNS
 
 OPERATORS = ("contains", "startswith", "endswith", "equals", "regex", "equals_field", "basename_not_equals_field")
 SEVERITIES = ("low", "medium", "high", "critical")
+# Severities of Sigma levels; others are medium.
+SIGMA_SEVERITIES = {"informational": "low", "info": "low", "low": "low", "high": "high", "critical": "critical", "fatal": "critical"}
 
 
 @dataclass(frozen=True)
@@ -63,6 +65,27 @@ def rule_of(mapping: dict) -> Rule:
     return Rule(**known | {"pattern": str(known["pattern"])}, technique=mapping.get("mitre_technique"), fields=tuple(fields), all_of=conditions)
 
 
+def sigma_rule(document: dict) -> Rule:
+    """A Sigma rule whose only selection is ``CommandLine|contains``; others are refused, as a part of them would mean something else."""
+    title = str(document.get("title") or "Sigma rule")
+    detection = document.get("detection")
+    chosen = detection.get("condition") if isinstance(detection, dict) else None
+    name = chosen.strip() if isinstance(chosen, str) else ""
+    selection = detection.get(name) if name else None
+    if not isinstance(selection, dict) or len(selection) != 1 or set(detection) - {"condition", "timeframe", name}:
+        raise ValueError(f"Sigma rule {title!r}: the condition must name the only selection, of one field")
+    ((asked, values),) = selection.items()
+    values = [values] if isinstance(values, str) else values
+    if [p.strip().casefold() for p in str(asked).split("|")] != ["commandline", "contains"]:
+        raise ValueError(f"Sigma rule {title!r}: {asked!r} isn't supported")
+    if not isinstance(values, list) or not all(isinstance(v, str) and "|" not in v for v in values) or not any(values):
+        raise ValueError(f"Sigma rule {title!r}: values must be texts without bars")
+    severity = SIGMA_SEVERITIES.get(str(document.get("level") or "").strip().casefold(), "medium")
+    tags = [t for t in document.get("tags") or () if isinstance(t, str) and t.casefold().startswith("attack.t")]
+    technique = tags[0][len("attack.") :].upper() if tags else None
+    return Rule(str(document.get("id") or title), title, "command_line", "|".join(v for v in values if v), "contains", severity, technique)
+
+
 def load_rules(folder: str) -> list[Rule]:
     """Rules of all JSON and YAML files under a folder, by path. Rule files are metadata: they are read on the driver."""
     found = []
@@ -73,7 +96,7 @@ def load_rules(folder: str) -> list[Rule]:
             import yaml
 
             content = yaml.safe_load(path.read_text())
-        found += [rule_of(m) for m in (content if isinstance(content, list) else [content])]
+        found += [sigma_rule(m) if "detection" in m else rule_of(m) for m in (content if isinstance(content, list) else [content])]
     return found
 
 

@@ -14,15 +14,27 @@ from tracemill.sources import events as sources
 
 @dataclass(frozen=True)
 class Link:
-    """A correlation: an event of the first source, then one of the second in time, equal in ``keys``."""
+    """A correlation: an event of the first source, or that fits the first patterns, then one of the second in time, equal in ``keys``."""
 
     kind: str
-    first: str
-    second: str
+    first: str | tuple[str, ...]
+    second: str | tuple[str, ...]
     seconds: int = 300
     keys: tuple[str, ...] = ("host", "user")
 
 
+# The correlations that are looked for by default.
+DEFAULT_LINKS = (
+    Link("download_exec", ("cmd:curl", "cmd:wget", "cmd:invoke-webrequest", "cmd:download"), ("source:ProcessCreate", "event_id:4688"), 600, ("host",)),
+    Link("encoded_exec", ("cmd:-encodedcommand", "cmd:-enc"), ("source:ProcessCreate",), 60, ("host", "user")),
+    Link("network_data", ("source:NetworkConnection", "event_id:5156"), ("source:NetworkTransfer", "cmd:bitsadmin"), 300, ("host",)),
+)
+
+
+def _side(events: DataFrame, wanted: str | tuple[str, ...]) -> DataFrame:
+    return events.where(F.col("source") == wanted if isinstance(wanted, str) else correlation.fits(wanted))
+
+
 @dataclass(frozen=True)
 class Results:
     events: DataFrame
@@ -49,7 +61,7 @@ def correlate(events: DataFrame, findings: DataFrame, links: Sequence[Link]) ->
     weights = findings.groupBy("ord").agg(F.sum(correlation.severity_weight(F.col("severity"))).alias("w"), F.count("*").alias("f"))
     found = None
     for link in links:
-        pairs = correlation.interval_join(events.where(F.col("source") == link.first), events.where(F.col("source") == link.second), link.keys, link.seconds)
+        pairs = correlation.interval_join(_side(events, link.first), _side(events, link.second), link.keys, link.seconds)
         pairs = pairs.select("a_ord", "a_ts_us", "b_ord", "b_ts_us", F.lit(link.kind).alias("kind"))
         found = pairs if found is None else found.unionAll(pairs)
     both = found.select("kind", "a_ord", F.inline(F.array(F.struct(F.lit(0).alias("place"), F.col("a_ord").alias("ord"), F.col("a_ts_us").alias("ts_us")), F.struct(F.lit(1).alias("place"), F.col("b_ord").alias("ord"), F.col("b_ts_us").alias("ts_us"))))).distinct()
@@ -60,7 +72,7 @@ def correlate(events: DataFrame, findings: DataFrame, links: Sequence[Link]) ->
     return sized.select("kind", "a_ord", "n_events", "n_findings", "span_us", F.round(confidence, 6).alias("confidence"))
 
 
-def analyse(events: DataFrame, detection: Iterable[rules.Rule], links: Sequence[Link], least: str = "low") -> Results:
+def analyse(events: DataFrame, detection: Iterable[rules.Rule], links: Sequence[Link] = DEFAULT_LINKS, least: str = "low") -> Results:
     """Normalised events, their findings from a severity on, and the chains between them."""
     clean = sources.normalise(events)
     findings = rules.filter_findings(rules.detect(clean, detection), least)

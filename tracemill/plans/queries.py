@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
-from tracemill.operators import correlation, evaluation, rules, sessions, summaries
+from tracemill.operators import correlation, evaluation, rules, scenarios, sessions, summaries
 from tracemill.operators.rules import Condition, Rule
 from tracemill.sources import events as sources
 
@@ -22,6 +22,11 @@ RULES = (
     Rule("R5", "sign-ups", "source", "sign", "startswith", "low", None, all_of=(Condition("k", "4", "equals"),)),
 )
 LINKS = (Link("buy_after_view", "view", "purchase", 1800, ("user",)), Link("error_after_click", "click", "error", 300, ("host",)))
+TEMPLATES = (
+    scenarios.Template("S1", "execution", ("T1059",), ("T1059.001", "T1003"), ("purchase",), "execution"),
+    scenarios.Template("S2", "theft", ("t1105", "T1003")),
+    scenarios.Template("S3", "movement", ("T1021", "T1003")),
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,6 +69,26 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.detect(events(spark, sf_dir), RULES)
 
 
+@query(f"WITH {_EVENTS} SELECT ord FROM e WHERE contains(lower(source), 'err') OR ord = 7 OR contains(lower(command_line), '\"k\": 3') OR contains(lower(source), 'sign')")
+def event_patterns(spark, sf_dir):
+    return events(spark, sf_dir).where(correlation.fits(("source:ERR", "event_id:7", 'cmd:"K": 3', "Sign"))).select("ord")
+
+
+@query(
+    f"""WITH {_FINDINGS}, t AS (SELECT host, list(DISTINCT technique) FILTER (technique IS NOT NULL) AS ts, count(*) AS n_findings FROM f GROUP BY host),
+  c AS (SELECT host, count(*) AS n_all, count(*) FILTER (source = 'purchase') AS n_purchase FROM e WHERE source IN ('view', 'purchase') GROUP BY host), b AS (SELECT * FROM c JOIN t USING (host))
+  SELECT host, 'S1' AS template_id, array_to_string(list_sort(list_intersect(ts, ['T1059', 'T1059.001', 'T1003'])), ',') AS techniques, n_purchase AS n_chains, n_findings,
+  round(least(1.0, 0.3 + 0.3 * list_contains(ts, 'T1059')::INT + 0.1 * (list_contains(ts, 'T1059.001')::INT + list_contains(ts, 'T1003')::INT) + least(0.2, n_purchase * 0.1) + least(0.1, n_findings * 0.02))::DOUBLE, 6) AS confidence
+  FROM b WHERE (list_contains(ts, 'T1059') OR list_contains(ts, 'T1059.001')) AND n_purchase > 0
+  UNION ALL SELECT host, 'S2', array_to_string(list_sort(list_intersect(ts, ['T1003', 'T1105'])), ','), n_all, n_findings, round(least(1.0, 0.6 + least(0.2, n_all * 0.1) + least(0.1, n_findings * 0.02))::DOUBLE, 6)
+  FROM b WHERE list_contains(ts, 'T1003') AND list_contains(ts, 'T1105')"""
+)
+def scenario_inference(spark, sf_dir):
+    chains = events(spark, sf_dir).where("source IN ('view', 'purchase')").select("host", F.col("source").alias("kind"))
+    inferred = scenarios.infer(chains, found(spark, sf_dir), TEMPLATES, ["host"])
+    return inferred.select("host", "template_id", F.array_join("techniques", ",").alias("techniques"), "n_chains", "n_findings", "confidence")
+
+
 @query(f"WITH {_FINDINGS} SELECT ord, rule_id, severity, technique, matched_value, host, source, timestamp FROM f")
 def detect(spark, sf_dir):
     return found(spark, sf_dir).select("ord", "rule_id", "severity", "technique", "matched_value", "host", "source", "timestamp")
