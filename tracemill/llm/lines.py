@@ -2,7 +2,8 @@
 
 Pages are grouped by host (for ``documents``: the source). For each line, the pages of the host that
 hold it are divided by the host's pages; a line above ``ratio`` and on at least ``min_pages`` pages is
-boilerplate there and goes from every page of the host. Pages of a host with the same text count as
+boilerplate there and goes from every page of the host. The ratio decides; two pages are asked for only so
+that a page isn't its own boilerplate on a small host (the SQL still asks for ten). Pages of a host with the same text count as
 one, so that copies of a page don't turn its own lines into boilerplate; near-dedup takes those.
 
 Counts are partial aggregates over (host, line hash), so neither a hot host nor a hot line meets in one
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, store, text_of
 
-RATIO, MIN_PAGES = 0.1, 10
+RATIO, MIN_PAGES = 0.1, 2
 
 
 def _lines(text: Column) -> Column:
@@ -61,7 +62,7 @@ OP4_SQL = f"""
 WITH pages AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM documents),
 held AS (SELECT DISTINCT source, text, trim(line) AS line
          FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM pages) WHERE trim(line) <> ''),
-often AS (SELECT source, line, count(*) AS n FROM held GROUP BY ALL HAVING count(*) >= {MIN_PAGES}),
+often AS (SELECT source, line, count(*) AS n FROM held GROUP BY ALL HAVING count(*) >= 10),
 total AS (SELECT source, count(*) AS total FROM pages GROUP BY ALL),
 boiler AS (SELECT o.source, list(line) AS drop FROM often o JOIN total t ON o.source IS NOT DISTINCT FROM t.source
            WHERE n > {RATIO} * total GROUP BY o.source),
