@@ -59,13 +59,21 @@ _CUES = {
     "phone": ("tel", "phone", "call", "fax", "mobile"),
 }
 _SECRET = re.compile(
-    r"\b(?:" + "|".join(_KEY_NAMES) + r")\b[\x20\"']{0,2}[=:][\x20\"']{0,2}(?P<value>[^\s\"',;]{6,200})"
-    r"|\b(?P<issued>(?:" + "|".join(_ISSUER_PREFIXES) + r")[A-Za-z0-9_-]{12,64})"
+    r"(?<![^\W_])(?ai:" + "|".join(_KEY_NAMES) + r")\b[\x20\"']{0,2}[=:][\x20\"']{0,2}(?P<value>[^\s\"',;]{6,})"
+    r"|\b(?P<issued>(?:" + "|".join(_ISSUER_PREFIXES) + r")[A-Za-z0-9_-]{12,})"
 )
-_SECRET_HINT = re.compile("|".join((*_KEY_NAMES, *_ISSUER_PREFIXES)))
 _ID_NUMBER = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])")
-_NAME = re.compile(r"\b(?:" + "|".join(_TITLES) + r")\.?\x20(?P<name>[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?)\b")
+
+
+def _letters(of) -> str:
+    return "".join(c for c in map(chr, range(0x1E960)) if c.isalpha() and of(c))
+
+
+# Capitals and other letters of any script, with accents that follow them as marks of their own.
+_MARKS = r"[\u0300-\u036F]*"
+_ONE_NAME = f"[{_letters(lambda c: c.isupper() or c.istitle())}]{_MARKS}(?:[{_letters(lambda c: not c.isupper() and not c.istitle())}]{_MARKS})+"
+_NAME = re.compile(r"\b(?:" + "|".join(_TITLES) + rf")\.?\x20(?P<name>{_ONE_NAME}(?:\x20{_ONE_NAME})?)(?!\w)")
 
 ABSTAIN, NO, YES = 0, 1, 2
 LABELERS = ("format", "gazetteer", "context")
@@ -119,7 +127,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def added_candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidate spans outside the base ones, which the classifier decides over."""
     found = []
-    if _SECRET_HINT.search(text):
+    low = text.lower()
+    if any(k in low for k in _KEY_NAMES) or any(p in text for p in _ISSUER_PREFIXES):
         found += [(*m.span(m.lastgroup), "secret") for m in _SECRET.finditer(text)]
     if _DIGIT_RUN.search(text):
         found += [(*m.span(), "id_number") for m in _ID_NUMBER.finditer(text)]
