@@ -29,3 +29,10 @@ def test_other_words_are_no_key_names():
 @pytest.mark.parametrize("title, name", [("Herr", "Müller"), ("Sra", "Núñez"), ("Mme", "Élodie Lefèvre"), ("Dr.", "Müller"), ("Mr", "John Smith"), ("Prof.", "Ωmega"), ("Frau", "A" + "b" * 40)])
 def test_names_of_any_letters(title, name):
     assert spans(f"an {title} {name}, hier", "name") == [name]
+
+
+def test_redact_rows_without_id_or_with_a_repeated_one(spark):
+    rows = [(None, "mail bob@example.com now"), (None, "from 10.1.2.3"), (1, "a bob@example.com b"), (1, "much longer before ann@example.com"), (2, None), (2, "plain")]
+    found = pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted = [(None, "mail [email] now"), (None, "from [ip]"), (1, "a [email] b"), (1, "much longer before [email]"), (2, ""), (2, "plain")]
+    assert sorted(map(tuple, found), key=str) == sorted(wanted, key=str)

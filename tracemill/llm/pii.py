@@ -187,8 +187,13 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["stop"].append([b for _, b, _ in spans])
             out["votes"].append([a + 3 * b + 9 * c for a, b, c in votes])
             out["features"].append([_features(text, a, b) for a, b, _ in spans])
-        columns = [batch.column("doc_id"), *(pa.array(v, _FOUND_FIELDS[k]) for k, v in out.items())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *out])
+        columns = [batch.column("doc_id"), batch.column("text"), *(pa.array(v, _FOUND_FIELDS[k]) for k, v in out.items())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", *out])
+
+
+def _find_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _find(batches):
+        yield batch.drop_columns(["text"])
 
 
 _INTS = pa.list_(pa.int32())
@@ -262,31 +267,33 @@ def train(found: DataFrame, steps: int = 400, rate: float = 0.5) -> SpanModel:
     return SpanModel(reliability, float(bias), tuple(map(float, w[:n])), by_vote, tuple(map(float, w[n + 3 * len(LABELERS) :])))
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
+def find_spans(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document with its base counts and digest, and all candidates with votes and features."""
     slim = docs.select("doc_id", text_of().alias("text"))
-    return slim.mapInArrow(_find, f"doc_id {dict(slim.dtypes)['doc_id']}, {_FOUND_SCHEMA}")
+    kind = dict(slim.dtypes)["doc_id"]
+    return slim.mapInArrow(_find if with_text else _find_only, f"doc_id {kind}, {'text string, ' if with_text else ''}{_FOUND_SCHEMA}")
 
 
-def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def detect(docs: DataFrame, threshold: float = 0.5, with_text: bool = False) -> DataFrame:
     """Personal data of every document: base spans, which always stay, and those the classifier adds.
 
     Returns doc_id, ``found`` (array of kind, start, stop, added; ends exclusive, in code points), the base
-    counts and the base digest. The candidates are stored once, so the texts are read a single time.
+    counts and the base digest; ``with_text`` adds the text. The candidates are stored once, with the text
+    only if asked for, so the texts are read a single time.
     """
-    found = store(find_spans(docs), "pii")
+    found = store(find_spans(docs, with_text), "pii")
     model = train(found)
     spans = F.arrays_zip("kind", "start", "stop", "votes", "features")
     n_base = len(BASE_KINDS)
     kept = F.filter(spans, lambda s: (s["kind"] < n_base) | (model.probability(s["kind"], s["votes"], s["features"]) >= threshold))
     names = F.array(*map(F.lit, KINDS))
     shaped = F.transform(kept, lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), (s["kind"] >= n_base).alias("added")))
-    return found.select("doc_id", "counts", "base_sha256", shaped.alias("found"))
+    return found.select("doc_id", "counts", "base_sha256", shaped.alias("found"), *(["text"] if with_text else []))
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id and text with every found span replaced by its kind in brackets."""
-    spans = detect(docs, threshold).select("doc_id", "found").dropDuplicates(["doc_id"])
+    """doc_id and text with every found span replaced by its kind in brackets; each row by its own spans."""
+    spans = detect(docs, threshold, with_text=True)
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def step(acc, s):
@@ -294,9 +301,8 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         grown = F.concat(acc["done"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
         return F.struct(F.when(fresh, grown).otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
-    joined = docs.select("doc_id", text_of().alias("text")).join(spans, "doc_id", "left")
-    folded = F.aggregate(F.coalesce("found", F.array().cast(spans.schema["found"].dataType)), start, step)
-    return joined.select("doc_id", folded.alias("acc"), "text").select("doc_id", F.concat("acc.done", F.expr("substr(text, acc.at + 1)")).alias("text"))
+    folded = spans.select("doc_id", F.aggregate("found", start, step).alias("acc"), "text")
+    return folded.select("doc_id", F.concat("acc.done", F.expr("substr(text, acc.at + 1)")).alias("text"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
