@@ -1,20 +1,23 @@
 """Best-fit packing of tokenised documents into fixed-size training sequences.
 
 Tokenising and cutting run where the documents are; only one small row per piece travels. Pieces are
-dealt evenly into shards by hash, and each shard is packed by vector best fit, decreasing: a sequence
+dealt evenly into shards by their stored number, whatever their ids, and each shard is packed by vector best fit, decreasing: a sequence
 has three residual capacities (tokens, documents, attention cost, the sum of squared lengths), and a
 piece goes to the sequence that it fits in every dimension and leaves with the least weighted residual
 norm. A shard holds about ``SHARD_PIECES`` pieces whatever the corpus, so memory is bounded, and the
 open sequences at its end are the only cost of sharding.
 
-Defined cases: null text reads as empty and is the end token alone; repeated rows are packed each for
-themselves; an empty table gives no pieces; other columns are ignored.
+Defined cases: null text reads as empty and is the end token alone; the tokenizer's own special tokens
+in a text become their ids, as in its plain call; repeated rows, null ids among them, are packed each for
+themselves; pieces of the same length are placed in the order of their numbers; an empty table gives no
+pieces; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,22 +42,23 @@ _PLAIN = re.compile(r"[\n\x20-\x7e¡-¬®-ɏΑ-ΡΣ-ωА-я‘-”]*")
 
 @lru_cache(maxsize=2)
 def encoders(name: str = TOKENIZER):
-    """(batch encoder of the ``tokenizers`` file, encoder of one plain text by the same vocabulary as ranks)."""
+    """(encoder of the ``tokenizers`` file, encoder of plain texts by the same vocabulary as ranks, pattern of the special tokens)."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    slow.encode_special_tokens = True
+    added = [t["content"] for t in json.loads(slow.to_str()).get("added_tokens") or ()]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return slow, tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+    return slow, tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
 def token_ids(text: str, name: str = TOKENIZER) -> list[int]:
-    """Ids of a text without special tokens. Both ways give the same ids; the ranks are some three times as fast."""
-    slow, fast = encoders(name)
-    if text.isascii() and text.isprintable() or _PLAIN.fullmatch(text):
+    """Ids that the plain call of the tokenizer gives, nothing added. Both ways give the same; the ranks are some three times as fast."""
+    slow, fast, special = encoders(name)
+    if (text.isascii() and text.isprintable() or _PLAIN.fullmatch(text)) and not special.search(text):
         return fast.encode_ordinary(text)
     return slow.encode(text, add_special_tokens=False).ids
 
@@ -130,22 +134,27 @@ def best_fit(lengths: np.ndarray, max_tokens: int = MAX_TOKENS, max_documents: i
 
 
 def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS, max_documents: int = MAX_DOCUMENTS, max_cost: int | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to stored :func:`pieces`; ``cut`` is read twice, so pass a stored table."""
+    """Adds sequence_id and offset to numbered :func:`pieces`; ``cut`` is read twice, so pass a stored table with a column ``number``.
+
+    A shard is packed in the order of its numbers, so a task that runs again places every piece alike.
+    """
     shards = max(1, -(-cut.count() // shard_pieces))
-    names = [c for c in cut.columns if c != "ids"]
+    names = [c for c in cut.columns if c not in ("ids", "number")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("number", ignore_index=True)
         sequence, offset = best_fit(frame["length"].to_numpy(), max_tokens, max_documents, max_cost)
         return frame[names].assign(sequence_id=sequence + (int(frame["shard"].iloc[0]) << 40), offset=offset)
 
-    dealt = cut.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("shard"))
+    dealt = cut.select(*names, "number", F.pmod(F.xxhash64("number"), F.lit(shards)).alias("shard"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
     return dealt.groupBy("shard").applyInPandas(run, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, **capacities) -> DataFrame:
     """Pieces of all documents with their sequences; see :func:`pieces` and :func:`pack`."""
-    return pack(store(pieces(docs, capacities.get("max_tokens", MAX_TOKENS)), "pieces"), **capacities)
+    cut = pieces(docs, capacities.get("max_tokens", MAX_TOKENS))
+    return pack(store(cut.withColumn("number", F.monotonically_increasing_id()), "pieces"), **capacities)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, max_tokens: int = MAX_TOKENS, name: str = TOKENIZER) -> DataFrame:
