@@ -1,14 +1,18 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaling.
 
-Features are the hashed byte 3-, 4- and 5-grams that a text holds (A-Z lower-cased). Each is scaled by
-its naive Bayes log-count ratio between the labelled classes, and a logistic regression is trained over
-the scaled features. Document frequencies by class are counted on the executors, from a sample of at
-most ``max_rows`` labelled rows (by hash of the id); only the ``max_features`` most telling features,
-and the sample's few active ones, reach the driver. Scoring is one pass over the texts.
+Features are the 3-, 4- and 5-grams of code points that a text holds (A-Z lower-cased), hashed to
+``HASH_BITS`` bits; all of them are used. Each is scaled by its naive Bayes log-count ratio between the
+labelled classes, with ``SMOOTHING`` pseudo-texts dealt to the classes by their share, so that rare
+n-grams say little; a text's values are divided by the root of their number. A logistic regression is
+trained over the scaled features. Only its training is bounded: at most ``max_rows`` labelled rows, chosen
+by hash of the id. Class counts come from the executors as one row per hashed n-gram, and the rows' lists
+of n-grams go to the driver, some 4 bytes for each. Scoring is one pass over all texts.
 
 Defined cases: null text reads as empty and gets the score of a text without features; rows with a null
-id are scored but never trained on; null labels are not used; without any labelled row of both classes
-the score is 0.5 throughout; other columns are ignored.
+id are scored but never trained on; null labels are not used; repeated rows and ids count as often as they
+stand and score alike; labelled ids at equal hashes are taken by id, then label; without any labelled row
+of both classes the score is 0.5 throughout; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from .common import doc_crc, documents, text_of
 
 SIZES, HASH_BITS = (3, 4, 5), 20
 #: Characters taken at a time, so that a batch of long texts doesn't fill the worker's memory.
-CHUNK_CHARS = 1_000_000
-MAX_ROWS, MAX_FEATURES, THRESHOLD = 20_000, 4096, 0.7
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+CHUNK_CHARS = 500_000
+MAX_ROWS, SMOOTHING, THRESHOLD = 4000, 5.0, 0.7
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -43,80 +47,65 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed n-gram, row) at every position of every text, as two flat arrays."""
-    raw = [t.encode("utf-8", "replace").lower() for t in texts]
-    # Four zero bytes after each text keep n-grams from crossing into the next.
-    flat = np.frombuffer(b"\0\0\0\0".join([*raw, b""]), dtype=np.uint8)
-    row = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) + 4 for r in raw])
-    codes, rows = [], []
-    value, n = flat.astype(np.uint64), len(flat)
-    for k in range(1, max(SIZES)):
-        if n <= k:
-            break
-        value = (value[: n - k] << np.uint64(8)) | flat[k:]
+    """(hashed n-gram, row) of every position of every text, as two flat arrays."""
+    raw = [t.encode("utf-32-le", "replace") for t in texts]
+    # Zeros after each text keep n-grams from crossing into the next.
+    gap = bytes(4 * max(SIZES))
+    flat = np.frombuffer(gap.join([*raw, b""]), dtype=np.uint32).astype(np.uint64)
+    flat[(flat >= 65) & (flat <= 90)] += np.uint64(32)
+    row = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) // 4 + max(SIZES) for r in raw])
+    codes, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    value, n, whole = flat.copy(), len(flat), flat != 0
+    for k in range(1, min(max(SIZES), n)):
+        value = value[: n - k] * _BASE + flat[k:]
+        whole = whole[: n - k] & (flat[k:] != 0)
         if k + 1 in SIZES:
-            whole = flat[k:] != 0
-            codes.append(((value[whole] * np.uint64(2 * k + 1) * _MIX) >> np.uint64(64 - HASH_BITS)).astype(np.int32))
+            codes.append((((value[whole] + np.uint64(k)) * _MIX) >> np.uint64(64 - HASH_BITS)).astype(np.int32))
             rows.append(row[: n - k][whole])
-    return (np.concatenate(codes), np.concatenate(rows)) if codes else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+    return np.concatenate(codes), np.concatenate(rows)
+
+
+def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, n-gram) pairs, each once, by row."""
+    found = [np.zeros(0, np.int64)]
+    for a, b in chunks(texts):
+        codes, rows = gram_codes(texts[a:b])
+        found.append(np.unique((rows.astype(np.int64) + a) << HASH_BITS | codes))
+    pairs = np.concatenate(found)
+    return pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    grams: np.ndarray  # hashed n-grams, ascending
-    weights: np.ndarray
+    weights: np.ndarray  # of every hashed n-gram, with its naive Bayes ratio in it
     bias: float
 
-    def active(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(row, feature) pairs, each once."""
-        lookup = np.full(1 << HASH_BITS, -1, dtype=np.int32)
-        lookup[self.grams] = np.arange(len(self.grams), dtype=np.int32)
-        return _active(lookup, len(self.grams), texts)
-
-    def score(self, texts: list[str], lookup: np.ndarray | None = None) -> np.ndarray:
-        row, feature = self.active(texts) if lookup is None else _active(lookup, len(self.grams), texts)
-        z = self.bias + np.bincount(row, weights=self.weights[feature], minlength=len(texts))
+    def score(self, texts: list[str]) -> np.ndarray:
+        row, gram = distinct_grams(texts)
+        size = np.maximum(np.bincount(row, minlength=len(texts)), 1)
+        z = self.bias + np.bincount(row, weights=self.weights[gram], minlength=len(texts)) / np.sqrt(size)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _active(lookup: np.ndarray, n: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    found = [np.zeros(0, np.int64)]
-    for a, b in chunks(texts):
-        codes, rows = gram_codes(texts[a:b])
-        feature = lookup[codes]
-        hit = feature >= 0
-        found.append(np.unique((rows[hit].astype(np.int64) + a) * max(n, 1) + feature[hit]))
-    pairs = np.concatenate(found)
-    return pairs // max(n, 1), pairs % max(n, 1)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_class = np.zeros((2, 1 << HASH_BITS), dtype=np.int32)
     for batch in batches:
         label = np.array(batch.column("label").to_pylist(), dtype=np.int64)
-        texts = batch.column("text").to_pylist()
-        for a, b in chunks(texts):
-            codes, rows = gram_codes(texts[a:b])
-            pairs = np.unique(rows.astype(np.int64) << HASH_BITS | codes)
-            row, code = pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
-            for c in (0, 1):
-                seen, times = np.unique(code[label[a:b][row] == c], return_counts=True)
-                by_class[c, seen] += times.astype(np.int32)
+        row, gram = distinct_grams(batch.column("text").to_pylist())
+        for c in (0, 1):
+            by_class[c] += np.bincount(gram[label[row] == c], minlength=1 << HASH_BITS).astype(np.int32)
     grams = np.flatnonzero(by_class.sum(axis=0))
     for k in range(0, len(grams), 50_000):
         g = grams[k : k + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(by_class[0, g], pa.int64()), pa.array(by_class[1, g], pa.int64())], names=["gram", "clean", "toxic"])
 
 
-def _activate(model: ToxicityModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            row, feature = model.active(texts)
-            ends = np.searchsorted(row, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))], names=["label", "active"])
-
-    return run
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        row, gram = distinct_grams(texts)
+        ends = np.searchsorted(row, np.arange(len(texts) + 1))
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram, pa.int32()))], names=["label", "grams"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -127,52 +116,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, ridge: float = 1e-3, steps: int = 150) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, smoothing: float = SMOOTHING, epochs: int = 20) -> ToxicityModel:
     sample = labelled_sample(docs, labels, max_rows)
-    counted = sample.mapInArrow(_count, "gram int, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    counted = sample.mapInArrow(_count, "gram int, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    rows = sample.mapInArrow(_list, "label long, grams array<int>").toArrow()
+    label = rows.column("label").to_numpy()
+    n1, n0 = int(label.sum()), int(len(label) - label.sum())
     if not n0 or not n1:
-        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0), 0.0)
-    p, q = (F.col("toxic") + 1) / (n1 + 2), (F.col("clean") + 1) / (n0 + 2)
-    share = (F.col("toxic") + F.col("clean")) / (n0 + n1)
-    gain = (F.col("toxic") + 1) * F.log(p / share) + (F.col("clean") + 1) * F.log(q / share)
-    best = counted.where("toxic + clean >= 3").select("gram", F.log(p / q).alias("ratio"), gain.alias("gain")).orderBy(F.desc("gain"), "gram").limit(max_features).collect()
-    best.sort(key=lambda r: r["gram"])
-    grams, ratio = np.array([r["gram"] for r in best], dtype=np.int32), np.array([r["ratio"] for r in best])
-    model = ToxicityModel(grams, ratio, 0.0)
-    rows = sample.mapInArrow(_activate(model), "label long, active array<int>").toArrow()
-    label = np.array(rows.column("label").to_pylist(), dtype=float)
-    lists = rows.column("active").combine_chunks()
-    size = np.array(lists.value_lengths()).astype(np.int64)
-    row, feature = np.repeat(np.arange(len(label)), size), np.array(lists.flatten()).astype(np.int64)
-    return _fit(model, label, row, feature, ridge, steps)
-
-
-def _fit(model: ToxicityModel, label: np.ndarray, row: np.ndarray, feature: np.ndarray, ridge: float, steps: int) -> ToxicityModel:
+        return ToxicityModel(np.zeros(1 << HASH_BITS, np.float32), 0.0)
+    gram, toxic, clean = (counted.column(c).to_numpy() for c in ("gram", "toxic", "clean"))
+    ratio = np.zeros(1 << HASH_BITS, np.float32)
+    share = n1 / (n0 + n1)
+    ratio[gram] = np.log((toxic + smoothing * share) / n1) - np.log((clean + smoothing * (1 - share)) / n0)
+    lists = rows.column("grams").combine_chunks()
+    return _fit(ratio, label.astype(np.float64), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), epochs)
+
+
+def _fit(ratio: np.ndarray, label: np.ndarray, size: np.ndarray, gram: np.ndarray, epochs: int, batch: int = 512, rate: float = 0.03, ridge: float = 1e-5) -> ToxicityModel:
     """Logistic regression over the scaled features by Adam, classes weighted alike."""
-    scale, n = model.weights, len(model.grams)
-    w, bias = np.full(n, 0.05), 0.0
-    balance = np.where(label > 0, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1))
-    m, v = np.zeros(n + 1), np.zeros(n + 1)
-    value = scale[feature]
-    for step in range(1, steps + 1):
-        z = bias + np.bincount(row, weights=value * w[feature], minlength=len(label))
-        gap = balance * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label)
-        slope = np.append(np.bincount(feature, weights=value * gap[row], minlength=n) + ridge * w / max(n, 1), gap.sum())
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, bias = w - move[:n], bias - move[n]
-    return ToxicityModel(model.grams, w * scale, float(bias))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    seen = np.flatnonzero(np.bincount(gram, minlength=len(ratio)))  # the others keep their weight
+    index = np.zeros(len(ratio), np.int32)
+    index[seen] = np.arange(len(seen), dtype=np.int32)
+    gram, whole, ratio = index[gram], ratio, ratio[seen]
+    w, m, v, bias, step = (np.ones(len(ratio)), np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1), 0.0, 0)
+    balance = np.where(label > 0, 0.5 / label.mean(), 0.5 / (1 - label).mean())
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        shuffled = order.permutation(len(label))
+        for k in range(0, len(label), batch):
+            chosen = shuffled[k : k + batch]
+            place = np.concatenate([gram[begin[i] : begin[i + 1]] for i in chosen])
+            row = np.repeat(np.arange(len(chosen)), size[chosen])
+            value = ratio[place] / np.sqrt(size[chosen])[row]
+            z = bias + np.bincount(row, weights=value * w[place], minlength=len(chosen))
+            gap = balance[chosen] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label[chosen]) / len(chosen)
+            slope = np.append(np.bincount(place, weights=value * gap[row], minlength=len(w)) + ridge * w, gap.sum())
+            step += 1
+            m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            w, bias = w - move[:-1], bias - move[-1]
+    weights = whole.astype(np.float32)
+    weights[seen] = w * ratio
+    return ToxicityModel(weights, float(bias))
 
 
 def _scorer(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = np.full(1 << HASH_BITS, -1, dtype=np.int32)
-        lookup[model.grams] = np.arange(len(model.grams), dtype=np.int32)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(model.score(texts, lookup))], names=["kept", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(model.score(batch.column("text").to_pylist()))], names=["kept", "score"])
 
     return run
 
