@@ -281,21 +281,23 @@ def _windows(length: int):
     return run
 
 
-def _settled(found: DataFrame, length: int, width: int, crowd: int) -> DataFrame:
-    """(row, place) of all runs of repeated windows; ``found``: stored runs with digests and contexts."""
+def _settled(found: DataFrame, length: int, width: int, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(row, place) of all runs of repeated windows, and the tables that it reads; ``found``: stored runs with digests and contexts."""
     witness = F.min(F.when(F.col("tail").isNotNull(), F.struct("row", "place"))).alias("w")
     kinds = store(found.groupBy("bucket", "digest").agg(F.count(F.lit(1)).alias("times"), witness), "kinds")
     again = found.select("row", "place", "bucket", "digest").join(kinds.where("times > 1").select("bucket", "digest"), ["bucket", "digest"]).select("row", "place")
     shape = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("times").alias("least"))
     mixed = store(shape.where("rows > 1 AND least = 1").select("bucket", (F.col("rows") > crowd).alias("crowded")), "mixed")
     asked = kinds.join(mixed, "bucket").select("w.row", "w.place", "bucket", "digest", "times", "crowded")
-    rows = store(found.join(store(asked, "witnesses"), ["row", "place", "bucket", "digest"]).select("bucket", "head", "tail", "row", "place", "times", "crowded"), "rows")
+    asked = store(asked, "witnesses")
+    rows = store(found.join(asked, ["row", "place", "bucket", "digest"]).select("bucket", "head", "tail", "row", "place", "times", "crowded"), "rows")
     sorted_rows = rows.where("NOT crowded").drop("crowded").repartition("bucket").sortWithinPartitions("bucket", "tail")
     ranked = sorted_rows.mapInArrow(_rank(length, width), "row long, place long")
     single = rows.where("crowded").select("head", "tail", "row", "place", "times").mapInArrow(_windows(length), "digest binary, row long, place long, times long")
     single = store(single, "single")
     twice = store(single.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest"), "twice")
-    return again.unionAll(ranked).unionAll(single.where("times = 1").join(twice, "digest").select("row", "place"))
+    discard(asked, mixed)
+    return again.unionAll(ranked).unionAll(single.where("times = 1").join(twice, "digest").select("row", "place")), [kinds, rows, single, twice]
 
 
 def _cut(length: int):
@@ -339,8 +341,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     schema = "row long, place long, bucket long, digest binary, head binary, tail binary"
     found = store(scan.select("row", "text").join(shared, "row").mapInArrow(_contexts(length), schema), "found")
     discard(again, shared)
-    places = store(_settled(found, length, cell_width(length, gram), crowd).groupBy("row").agg(F.collect_list("place").alias("places")), "gone")
-    discard(found)
+    gone, used = _settled(found, length, cell_width(length, gram), crowd)
+    places = store(gone.groupBy("row").agg(F.collect_list("place").alias("places")), "gone")
+    discard(found, *used)
     touched = scan.select("row", "doc_id", "text", "n_bytes").join(places, "row").mapInArrow(_cut(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     whole = scan.select("row", "doc_id", "n_bytes", "sha256").join(places.select("row"), "row", "left_anti")
     untouched = whole.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
