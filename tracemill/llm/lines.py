@@ -32,7 +32,7 @@ def _lines(text: Column) -> Column:
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, drop): the hashes of the boilerplate lines of each host that has any. ``pages``: host, text."""
-    filled = F.filter(F.transform(_lines(F.col("text")), F.trim), lambda s: s != "")
+    filled = F.filter(F.transform(_lines(F.col("text")), lambda s: F.trim(s)), lambda s: s != "")
     held = pages.select("host", F.explode(F.array_distinct(F.transform(filled, lambda s: F.xxhash64(s)))).alias("line"))
     often = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
