@@ -29,7 +29,7 @@ from .common import doc_crc, documents, text_of
 
 SIZES, HASH_BITS = (3, 4, 5), 20
 #: Characters taken at a time, so that a batch of long texts doesn't fill the worker's memory.
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 250_000
 MAX_ROWS, SMOOTHING, THRESHOLD = 4000, 5.0, 0.7
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
@@ -66,12 +66,9 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, n-gram) pairs, each once, by row."""
-    found = [np.zeros(0, np.int64)]
-    for a, b in chunks(texts):
-        codes, rows = gram_codes(texts[a:b])
-        found.append(np.unique((rows.astype(np.int64) + a) << HASH_BITS | codes))
-    pairs = np.concatenate(found)
+    """(row, n-gram) pairs of one chunk of texts, each once, by row."""
+    codes, rows = gram_codes(texts)
+    pairs = np.unique(rows.astype(np.int64) << HASH_BITS | codes)
     return pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
 
 
@@ -81,9 +78,11 @@ class ToxicityModel:
     bias: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        row, gram = distinct_grams(texts)
-        size = np.maximum(np.bincount(row, minlength=len(texts)), 1)
-        z = self.bias + np.bincount(row, weights=self.weights[gram], minlength=len(texts)) / np.sqrt(size)
+        z = np.full(len(texts), self.bias)
+        for a, b in chunks(texts):
+            row, gram = distinct_grams(texts[a:b])
+            size = np.maximum(np.bincount(row, minlength=b - a), 1)
+            z[a:b] += np.bincount(row, weights=self.weights[gram], minlength=b - a) / np.sqrt(size)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -91,9 +90,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_class = np.zeros((2, 1 << HASH_BITS), dtype=np.int32)
     for batch in batches:
         label = np.array(batch.column("label").to_pylist(), dtype=np.int64)
-        row, gram = distinct_grams(batch.column("text").to_pylist())
-        for c in (0, 1):
-            by_class[c] += np.bincount(gram[label[row] == c], minlength=1 << HASH_BITS).astype(np.int32)
+        texts = batch.column("text").to_pylist()
+        for a, b in chunks(texts):
+            row, gram = distinct_grams(texts[a:b])
+            for c in (0, 1):
+                seen, times = np.unique(gram[label[a:b][row] == c], return_counts=True)
+                by_class[c, seen] += times.astype(np.int32)
     grams = np.flatnonzero(by_class.sum(axis=0))
     for k in range(0, len(grams), 50_000):
         g = grams[k : k + 50_000]
@@ -103,9 +105,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        row, gram = distinct_grams(texts)
-        ends = np.searchsorted(row, np.arange(len(texts) + 1))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram, pa.int32()))], names=["label", "grams"])
+        for a, b in chunks(texts):
+            row, gram = distinct_grams(texts[a:b])
+            ends = np.searchsorted(row, np.arange(b - a + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram, pa.int32()))], names=["label", "grams"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -164,7 +167,9 @@ def _fit(ratio: np.ndarray, label: np.ndarray, size: np.ndarray, gram: np.ndarra
 def _scorer(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(model.score(batch.column("text").to_pylist()))], names=["kept", "score"])
+            for a in range(0, len(batch), 1000):  # so that few texts are decoded at a time
+                part = batch.slice(a, 1000)
+                yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(model.score(part.column("text").to_pylist()))], names=["kept", "score"])
 
     return run
 
