@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, b
     filled = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = filled.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = store(least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
-    top = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Stored, so that Spark can split the join at a component that has very many nodes.
+    top = store(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "top")
     by_node = store(rooted.join(top, "root").select("node", "component_id"), "components")
     linked = filled.join(by_node, "node").select("doc_id", "n_shingles", "component_id")
     alone = own.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
