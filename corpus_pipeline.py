@@ -8,7 +8,7 @@ of ``documents`` pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontamination, lines, near_duplicates, packing, shingles, toxicity
@@ -28,14 +28,20 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates on five-word shingles."""
+    """The document with the least id of each group of near-duplicates on five-word shingles.
+
+    Of rows that repeat an id with its text the one with the least hash of all columns stays; rows without
+    an id stay. Only rows that repeat are gathered, and folded where they lie.
+    """
     found = near_duplicates.near_duplicates(docs, size=shingles.SIZE)
     dropped = store(found.where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("text_hash"))
     kept = packed.join(dropped, F.col("id") == F.col("dropped"), "left_anti")
-    copies = Window.partitionBy("id", "text_hash").orderBy("text_hash")
-    single = kept.where("id IS NOT NULL").select("row", F.row_number().over(copies).alias("copy")).where("copy = 1").select("row.*")
-    return single.unionAll(kept.where("id IS NULL").select("row.*"))
+    counted = kept.where("id IS NOT NULL").groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    repeated = store(counted.where("n > 1").select("id", "text_hash"), "repeated")
+    single = kept.join(repeated, ["id", "text_hash"], "left_anti")
+    folded = kept.join(repeated, ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return single.select("row.*").unionAll(folded.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
