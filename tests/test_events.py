@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.functions import decode
 from tracemill.functions import text as T
 from tracemill.operators import correlation, rules, scenarios, sessions
 from tracemill.operators.rules import Condition, Rule
@@ -68,7 +69,7 @@ def test_bad_rules_are_refused():
 
 def test_text_functions(spark):
     cases = [
-        (T.decoded_base64(F.lit("aGVsbG8gd29ybGQh")), "hello world!"), (T.decoded_base64(F.lit("not base64!")), None), (T.account_leaf(F.lit("LAB\\Bob")), "bob"),
+        (decode.base64_text(F.lit("aGVsbG8gd29ybGQh")), "hello world!"), (decode.base64_text(F.lit("not base64!")), None), (T.account_leaf(F.lit("LAB\\Bob")), "bob"),
         (T.account_leaf(F.lit("bob@lab")), "bob"), (T.host_name(F.lit(" WS1.Lab.. ")), "ws1.lab"), (T.short_host(F.lit("WS1.Lab")), "ws1"), (T.process_id(F.lit("0x1F")), 31),
         (T.process_id(F.lit("0")), None), (T.redact(F.lit("x -enc " + "A" * 30)), "x [REDACTED] [BASE64...REDACTED]"), (T.shorten(F.lit("abcd"), 3), "ab…"),
     ]

@@ -41,16 +41,14 @@ def process_id(value: Column) -> Column:
     return F.when(number > 0, number)
 
 
-def decoded_base64(value: Column) -> Column:
-    """Text behind strict base64 of 8 characters or more, read as UTF-8; null if it isn't such, or is blank."""
+def strict_base64(value: Column) -> Column:
+    """Bytes behind base64 without blanks and with its padding, of 8 characters or more; else null."""
     strict = value.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(value) >= 8) & (F.length(value) % 4 == 0)
-    content = F.try_to_binary(F.when(strict, value), F.lit("base64"))
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    return F.when(F.trim(text) != "", text)
+    return F.try_to_binary(F.when(strict, value), F.lit("base64"))
 
 
 def redact(value: Column) -> Column:
-    """Masks trigger words, then elides long runs of base64-like characters."""
+    """Fixed words are masked in the order of the list, and what looks like base64 is left out."""
     for pattern in REDACTED:
         value = F.regexp_replace(value, f"(?i){pattern}", "[REDACTED]")
     return F.regexp_replace(value, "[A-Za-z0-9+/=]{24,}", "[BASE64...REDACTED]")
@@ -60,6 +58,75 @@ def shorten(value: Column, size: int) -> Column:
     return F.when(F.char_length(value) > size, F.concat(F.substring(value, 1, size - 1), F.lit("…"))).otherwise(value)
 
 
+def filled(value: Column) -> Column:
+    """Trimmed text, null if nothing is left."""
+    return F.nullif(F.trim(value), F.lit(""))
+
+
+def letters(value: Column) -> Column:
+    """Lower-cased letters and digits of any script, nothing else."""
+    return F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]", "")
+
+
+# Texts that stand for no session.
+NO_SESSION = ("0", "0x0", "-", "none", "null")
+
+
+def session_id(value: Column) -> Column:
+    """A session's number with hexadecimal ones in their shortest form; null for malformed and empty ones."""
+    text, digits = F.trim(value), F.substring(F.trim(value), 3, 1000)
+    short = F.regexp_replace(F.lower(digits), "^0+(?=.)", "")
+    plain = F.when(F.lower(F.substring(text, 1, 2)) == "0x", F.when(digits.rlike("^[0-9A-Fa-f]+$"), F.concat(F.lit("0x"), short))).otherwise(text)
+    return F.when(~F.lower(plain).isin("", *NO_SESSION), plain)
+
+
+def service_name(value: Column) -> Column:
+    return F.lower(F.btrim(value, F.lit("\"' \t\r\n")))
+
+
+def command_text(value: Column) -> Column:
+    """Lower case, blanks folded, without quotes at the ends."""
+    return F.lower(F.btrim(F.regexp_replace(F.trim(value), r"\s+", " "), F.lit("\"'")))
+
+
+def base_name(value: Column) -> Column:
+    return F.lower(F.element_at(F.split(F.trim(value), r"[\\/]"), -1))
+
+
+def webkit_time(value: Column) -> Column:
+    """ISO text in UTC of microseconds since 1601; empty for those that aren't positive."""
+    return _iso(F.when(value > 0, value - 11644473600000000))
+
+
+def unix_micros_time(value: Column) -> Column:
+    return _iso(F.when(value > 0, value))
+
+
+def unix_time(value: Column) -> Column:
+    """ISO text in UTC of seconds since 1970; empty for those that aren't positive."""
+    return _iso(F.when(value > 0, value.cast("long") * 1000000))
+
+
+def _iso(micros: Column) -> Column:
+    whole = F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.pmod(micros, F.lit(1000000))
+    return F.coalesce(F.concat(whole, F.when(part > 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise(F.lit("")), F.lit("+00:00")), F.lit(""))
+
+
+def whole_number(value: Column) -> Column:
+    """A decimal, hexadecimal, octal (0o) or binary (0b) whole number, null for other texts."""
+    text = F.lower(F.trim(value))
+    bare, sign = F.regexp_replace(text, "^[+-]", ""), F.when(text.startswith("-"), -1).otherwise(1)
+    by_base = [F.when(bare.rlike(p), F.conv(F.substring(bare, 3, 64), b, 10)) for p, b in (("^0x[0-9a-f]{1,15}$", 16), ("^0o[0-7]{1,20}$", 8), ("^0b[01]{1,62}$", 2))]
+    return F.coalesce(*by_base, F.when(bare.rlike("^(0+|[1-9][0-9]{0,17})$"), bare)).try_cast("long") * sign
+
+
+def techniques_in(value: Column) -> Column:
+    """Distinct technique codes of a list in text, with or without the prefix ATTACK., split by commas and blanks."""
+    parts = F.transform(F.split(F.upper(value), r"[,;\s]+"), lambda p: F.regexp_replace(p, r"^ATTACK\.", ""))
+    return F.array_distinct(F.filter(parts, lambda p: p.rlike(r"^T\d{4}(\.\d{3})?$")))
+
+
 def context(value: Column, matched: Column, around: int = 40) -> Column:
     """The first place of ``matched`` in ``value`` with so many code points on each side."""
     at = F.position(matched, value)

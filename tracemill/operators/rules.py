@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions import decode
 from tracemill.functions import text as T
 from tracemill.sources.events import COLUMNS
 
@@ -106,6 +107,10 @@ def select_rules(rules: Iterable[Rule], include: Iterable[str] = (), exclude: It
     return [r for r in rules if (not wanted or r.id.casefold() in wanted) and r.id.casefold() not in unwanted]
 
 
+#: Texts that every rule looks at besides its own fields; the decoded ones follow the command line.
+TEXTS = ("command_line", "raw.script", "raw.payload", "raw.message")
+
+
 def field(name: str) -> Column:
     """An event's column, or else a dotted path in its record; empty where it is missing."""
     path = name.removeprefix("raw.")
@@ -114,12 +119,23 @@ def field(name: str) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), inner, F.lit(""))
 
 
-def matched(operator: str, text: Column, pattern: str, name: str = "") -> Column:
-    """The part of ``text`` that the pattern matches, null if it doesn't. All but patterns ignore case by lower case."""
-    low = F.lower(text)
+def decoded_texts(command: Column) -> Column:
+    """What a command line hides: its encoded arguments, the script behind it, and itself if it is encoded."""
+    whole = decode.script(command)["decoded"]
+    found = F.concat(decode.encoded_arguments(command), F.array(whole, decode.base64_text(command)))
+    # Few command lines hide anything; the others are told by one pattern.
+    may_hide = command.rlike(r"(?i)-enc|\$\w+\s*=\s*['\"]|^[A-Za-z0-9+/]{8,}={0,2}$")
+    return F.when(may_hide, F.array_distinct(F.filter(found, lambda t: t.isNotNull() & (t != "") & (t != command)))).otherwise(F.array().cast("array<string>"))
+
+
+def matched(operator: str, text: Column, pattern: str, name: str = "", low: Column | None = None, other: Column | None = None) -> Column:
+    """The part of ``text`` that the pattern matches, null if it doesn't. All but patterns ignore case by lower case.
+
+    ``low`` is the text in lower case and ``other`` the field that ``pattern`` names, where they are known already.
+    """
+    low = F.lower(text) if low is None else low
     if operator == "contains":
-        targets = [t for t in pattern.split("|") if t]
-        places = [(F.locate(t.lower(), low), len(t)) for t in targets]
+        places = [(F.locate(t.lower(), low), len(t)) for t in pattern.split("|") if t]
         return F.coalesce(*[F.when(at > 0, F.substring(text, at, F.lit(n))) for at, n in places])
     if operator == "startswith":
         return F.when(low.startswith(pattern.lower()), F.substring(text, F.lit(1), F.lit(len(pattern))))
@@ -130,32 +146,53 @@ def matched(operator: str, text: Column, pattern: str, name: str = "") -> Column
     if operator == "regex":
         java = "(?imdU)" + pattern.replace("(?P<", "(?<").replace(r"\Z", r"\z")
         return F.when(text.rlike(java), F.regexp_extract(text, java, 0))
-    other = field(pattern)
+    other = field(pattern) if other is None else other
     if operator == "equals_field":
         same = F.lower(F.trim(text)) == F.lower(F.trim(other))
         if "host" in (pattern, name):  # short and full names of a host are the same
             same = same | (T.short_host(text) == T.short_host(other))
         return F.when(same & (F.trim(text) != ""), text)
-    base = lambda c: F.lower(F.element_at(F.split(F.trim(c), r"[\\/]"), -1))
-    return F.when((base(text) != base(other)) & (base(text) != "") & (base(other) != ""), text)
-
-
-def _finding(rule: Rule) -> Column:
-    """A rule's finding in an event, null without one: the first candidate text that matches gives the value."""
-    names = [rule.field, *rule.fields]
-    if not rule.operator.endswith("_field"):
-        names += [n for n in ("command_line", "raw.script", "raw.payload", "raw.message") if n not in names]
-    hits = [F.struct(matched(rule.operator, field(n), rule.pattern, n).alias("value"), field(n).alias("text")) for n in names]
-    hit = F.coalesce(*[F.when(h["value"].isNotNull(), h) for h in hits])
-    holds = [matched(c.operator, field(c.field), c.pattern, c.field).isNotNull() & (field(c.field) != "") for c in rule.all_of]
-    held = reduce(lambda a, b: a & b, holds, hit.isNotNull())
-    return F.when(
-        held,
-        F.struct(
-            F.lit(rule.id).alias("rule_id"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"), F.lit(rule.technique).cast("string").alias("technique"),
-            hit.alias("hit"),
-        ),
-    )
+    return F.when((T.base_name(text) != T.base_name(other)) & (T.base_name(text) != "") & (T.base_name(other) != ""), text)
+
+
+class Prepared:
+    """Events with every field that rules look at as one column, in lower case as well, so that no rule parses the record again."""
+
+    def __init__(self, events: DataFrame, rules: list[Rule]):
+        names = dict.fromkeys([*TEXTS, *(n for r in rules for n in (r.field, *r.fields))])
+        for condition in (c for r in rules for c in (r, *r.all_of)):
+            names.setdefault(condition.field)
+            if condition.operator.endswith("_field"):
+                names.setdefault(condition.pattern)
+        self.place = {n: k for k, n in enumerate(names)}
+        shown = [field(n).alias(f"_f{k}") for n, k in self.place.items()]
+        self.events = events.select(*COLUMNS, *shown).select("*", *[F.lower(f"_f{k}").alias(f"_l{k}") for k in self.place.values()], decoded_texts(self.text("command_line")).alias("_decoded"))
+
+    def text(self, name: str) -> Column:
+        return F.col(f"_f{self.place[name]}")
+
+    def matched(self, operator: str, name: str, pattern: str) -> Column:
+        other = self.text(pattern) if operator.endswith("_field") else None
+        return matched(operator, self.text(name), pattern, name, F.col(f"_l{self.place[name]}"), other)
+
+    def finding(self, rule: Rule) -> Column:
+        """A rule's finding in an event, null without one: the first candidate text that matches gives the value."""
+        own = list(dict.fromkeys([rule.field, *rule.fields]))
+        compares = rule.operator.endswith("_field")
+        struct = lambda value, text: F.struct(value.alias("value"), text.alias("text"))
+        one = lambda n: F.when(self.matched(rule.operator, n, rule.pattern).isNotNull(), struct(self.matched(rule.operator, n, rule.pattern), self.text(n)))
+        hits = [one(n) for n in own]
+        if not compares:
+            if "command_line" not in own:
+                hits.append(one("command_line"))
+            hidden = F.filter(F.transform("_decoded", lambda t: struct(matched(rule.operator, t, rule.pattern), t)), lambda h: h["value"].isNotNull())
+            hits.append(F.when(F.size("_decoded") > 0, F.get(hidden, F.lit(0))))
+            hits += [one(n) for n in TEXTS[1:] if n not in own]
+        hit = F.coalesce(*hits)
+        holds = [self.matched(c.operator, c.field, c.pattern).isNotNull() & (self.text(c.field) != "") for c in rule.all_of]
+        about = [F.lit(v).cast("string").alias(n) for n, v in (("rule_id", rule.id), ("rule_name", rule.name), ("severity", rule.severity), ("technique", rule.technique))]
+        found = F.when(hit.isNotNull(), F.struct(*about, hit.alias("hit")))
+        return F.when(reduce(lambda a, b: a & b, holds), found) if holds else found
 
 
 def detect(events: DataFrame, rules: Iterable[Rule], distinct: bool = True) -> DataFrame:
@@ -164,7 +201,9 @@ def detect(events: DataFrame, rules: Iterable[Rule], distinct: bool = True) -> D
     The deduplication keeps the least ``ord`` by a partial aggregation, so a group of repeats of any size is
     folded where it lies before it is shuffled.
     """
-    found = events.select(*COLUMNS, F.explode(F.array_compact(F.array(*[_finding(r) for r in rules]))).alias("f"))
+    rules = list(rules)
+    ready = Prepared(events, rules)
+    found = ready.events.select(*COLUMNS, F.explode(F.array_compact(F.array(*map(ready.finding, rules)))).alias("f"))
     # The context is cut from rows that match only, after the explosion.
     value, text = F.col("f.hit.value"), F.col("f.hit.text")
     found = found.select(*COLUMNS, *[f"f.{c}" for c in ("rule_id", "rule_name", "severity", "technique")], value.alias("matched_value"), T.context(text, value).alias("matched_context"))
@@ -190,7 +229,3 @@ def filter_findings(findings: DataFrame, least: str = "low", techniques: Iterabl
         kept = kept.where(F.lower("host").isin(hosts))
     return kept
 
-
-def satisfies(required: Column, observed: Column) -> Column:
-    """Whether an observed technique is the required one or a part of it."""
-    return (required == observed) | observed.startswith(F.concat(required, F.lit(".")))

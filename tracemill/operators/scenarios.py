@@ -30,6 +30,25 @@ class Template:
             object.__setattr__(self, part, tuple(str(t).strip().upper() for t in getattr(self, part)))
 
 
+# The built-in templates.
+BUILT_IN = tuple(
+    Template(id, name, required, optional, kinds, stage)
+    for id, name, required, optional, kinds, stage in (
+        ("phishing_backdoor", "Phishing and backdoor", ("T1566", "T1059.001"), ("T1547.001", "T1053.005"), ("download_exec", "encoded_exec"), "initial_access"),
+        ("encoded_cred_dump", "Encoded credential dump", ("T1059.001",), ("T1003",), ("encoded_exec",), "credential_access"),
+        ("download_c2", "Download and command channel", ("T1105", "T1071"), ("T1059.001",), ("download_exec", "network_data"), "command_and_control"),
+        ("wmi_lateral", "Lateral movement by WMI", ("T1047",), ("T1021",), (), "lateral_movement"),
+        ("registry_persistence", "Persistence in the registry", ("T1547.001",), ("T1059.001", "T1053.005"), (), "persistence"),
+        ("scheduled_task_execution", "Scheduled task", ("T1053.005",), ("T1059.001", "T1547.001"), (), "execution"),
+        ("bits_data_transfer", "Transfer by BITS", ("T1197",), ("T1105", "T1071"), ("network_data",), "command_and_control"),
+        ("rdp_lateral", "Lateral movement by remote desktop", ("T1021.001",), ("T1078", "T1003"), (), "lateral_movement"),
+        ("fileless_attack", "Fileless attack", ("T1059.001",), ("T1218.005", "T1055"), ("encoded_exec",), "defense_evasion"),
+        ("credential_dumping", "Credential dumping", ("T1003",), ("T1059.001", "T1047"), (), "credential_access"),
+        ("service_creation", "Service creation", ("T1543.003",), ("T1059.001", "T1547.001"), (), "persistence"),
+    )
+)
+
+
 def _listed(value) -> tuple[str, ...]:
     return tuple(map(str, value)) if isinstance(value, list) else (str(value),) if value else ()
 
