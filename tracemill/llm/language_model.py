@@ -1,28 +1,33 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a word bigram model smoothed by interpolation with the unigram distribution. As an
-automaton, each known word is a state; a known bigram is an arc with its smoothed probability, and a
-failure arc leads to the empty-context state with the weight that the smoothing leaves for it, where
-every word has an arc. One left-to-right traversal of a text carries the state and adds up the
-logarithms. Interpolation weights depend on how often a state is seen (by powers of two) and maximise
-the leave-one-out likelihood of the training tokens, so every state's probabilities sum to one.
+The model is a word trigram model smoothed by interpolation with the bigram and unigram distributions. As
+an automaton, each known word and each bigram seen ``LEAST_STATE`` times or more is a state. An n-gram is
+an arc with its smoothed probability; a state's failure arc leads from a bigram to its last word and from
+a word to the empty-context state, where every word has an arc, with the weight that the smoothing leaves
+for it. One left-to-right traversal of a text carries the state and adds up the logarithms. Failure
+weights depend on the state's length and on how often it is seen (by powers of two) and maximise the
+leave-one-out likelihood of the training tokens, so every state's probabilities sum to one. Those of
+bigram states are fitted against an even mixture of the two shorter distributions.
 
 Counts grow with the corpus and are never gathered or broadcast. Documents are read once into blocks of
 ``BLOCK_CHARS`` characters: local token numbers and the hashes of the block's words. A block asks for the
 totals of its own distinct n-grams: sorted hashes, cut by hash range and delta-coded, with its training
-counts. Each range adds up what all blocks sent and answers each block in the order it asked. So a
-frequent n-gram is one entry per block however often it occurs, and a task holds one range or one block.
-The traversal of a block sees exactly the part of the automaton that its texts can reach.
+counts. Each range adds up what all blocks sent and answers each block in the order it asked. Trigrams
+are asked for in a second round, and only after states that exist. So a frequent n-gram is one entry per
+block however often it occurs, and a task holds one range or one block. The traversal of a block sees
+exactly the part of the automaton that its texts can reach.
 
 Defined cases: null text reads as empty and is the end token alone; rows without an id are trained on,
-not held out; repeated rows count each; without training rows all counts are 0 and every token has
-probability 1; an empty table gives an empty result; other columns are ignored.
+not held out; repeated rows count each, and equal texts score alike; without training rows all counts are
+0 and every token has probability 1; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,10 +37,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_crc, documents, store, text_of
+from .common import discard, doc_crc, documents, store, text_of
 from .near_duplicates import mix
 
-BLOCK_CHARS, RANGE_KEYS = 8_000_000, 2_000_000
+BLOCK_CHARS, RANGE_KEYS, LEAST_STATE = 4_000_000, 2_000_000, 2
 #: Hash of the token that ends a text; as a context it stands for the beginning of one.
 END = np.uint64(0x5851F42D4C957F2D)
 _BINS, _BIN_WIDTH, _LEVELS = 80, 0.1, 48
@@ -88,10 +93,23 @@ class _Block:
         self.bi_at = place[inverse.ravel()] if len(tokens) else np.zeros(0, np.int64)
         self.uni_at = self.uni_of[tokens] if len(tokens) else np.zeros(0, np.int64)
 
+        self.first = np.zeros(len(tokens), bool)  # tokens that begin a text
+        self.first[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = len(tokens) > 0
+
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Training counts of the block's own unigrams and bigrams."""
         return np.bincount(self.uni_at[self.train], minlength=len(self.uni_keys)), np.bincount(self.bi_at[self.train], minlength=len(self.bi_keys))
 
+    def trigrams(self, bigram_totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens read in a bigram state, distinct hashes of the trigrams that they end, which of these each is)."""
+        state = np.roll(self.bi_at, 1)  # the bigram before each token, where its text has one
+        reached = np.flatnonzero(~self.first & (bigram_totals[state] >= LEAST_STATE)) if len(state) else state
+        pair = state[reached].astype(np.uint64) << np.uint64(32) | self.uni_at[reached].astype(np.uint64)
+        distinct, inverse = np.unique(pair, return_inverse=True)
+        key = mix(mix(self.bi_keys[(distinct >> np.uint64(32)).astype(np.int64)]) * np.uint64(5) + self.uni_keys[(distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+        keys, place = np.unique(key, return_inverse=True)
+        return reached, keys, place[inverse.ravel()] if len(reached) else reached
+
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
@@ -136,27 +154,53 @@ def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def _ask(ranges: int):
+_ASKED = "span int, gram int, block long, keys binary, counts binary"
+_ASKED_TYPES = {"span": pa.int32(), "gram": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+
+
+def _asked(block: int, gram: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A block's keys of one length with its training counts, cut by hash range."""
+    edge, out = _bounds(keys, ranges), {name: [] for name in _ASKED_TYPES}
+    for j in np.flatnonzero(np.diff(edge)).tolist():
+        mine = slice(edge[j], edge[j + 1])
+        for name, value in zip(out, (j, gram, block, _squeeze_keys(keys[mine]), _squeeze(counts[mine])), strict=True):
+            out[name].append(value)
+    return pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in _ASKED_TYPES.items()], names=list(out))
+
+
+def _ask_short(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                block = _unpacked(batch, k)
+                for gram, keys, counts in zip((1, 2), (block.uni_keys, block.bi_keys), block.counts(), strict=True):
+                    yield _asked(batch.column("block")[k].as_py(), gram, keys, counts, ranges)
+
+    return run
+
+
+def _totals(batch: pa.RecordBatch, k: int, column: str) -> dict[int, np.ndarray]:
+    """Answered totals by length of the n-grams, in the order of the block's keys."""
+    got: dict[int, list] = defaultdict(list)
+    for part in sorted(batch.column(column)[k].as_py() or (), key=lambda a: (a["gram"], a["span"])):
+        got[part["gram"]].append(_spread(part["totals"]))
+    return defaultdict(lambda: np.zeros(0, np.int64), {gram: np.concatenate(parts) for gram, parts in got.items()})
+
+
+def _ask_long(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 block = _unpacked(batch, k)
-                out: dict[str, list] = defaultdict(list)
-                for order, (keys, counts) in enumerate(zip((block.uni_keys, block.bi_keys), block.counts(), strict=True)):
-                    edge = _bounds(keys, ranges)
-                    for j in range(ranges):
-                        mine = slice(edge[j], edge[j + 1])
-                        if edge[j] < edge[j + 1]:
-                            for name, value in (("span", j), ("gram", order + 1), ("block", batch.column("block")[k].as_py()), ("keys", _squeeze_keys(keys[mine])), ("counts", _squeeze(counts[mine]))):
-                                out[name].append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out["span"], pa.int32()), pa.array(out["gram"], pa.int32()), pa.array(out["block"], pa.int64()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], names=["span", "gram", "block", "keys", "counts"])
+                reached, keys, which = block.trigrams(_totals(batch, k, "answers")[2])
+                counts = np.bincount(which[block.train[reached]], minlength=len(keys))
+                yield _asked(batch.column("block")[k].as_py(), 3, keys, counts, ranges)
 
     return run
 
 
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     """Totals of one hash range, for each block in the order in which it asked; types and tokens once."""
-    totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     asked = [_spread_keys(k) for k in frame["keys"]]
     keys = np.unique(np.concatenate(asked))
     counts = np.zeros(len(keys), np.int64)
@@ -168,87 +212,137 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 class _Automaton:
-    """The part of the automaton that one block can reach, as arrays over its tokens."""
+    """The part of the automaton that one block can reach.
+
+    States are numbered: 0 is the empty context, then come the block's words and its bigrams. ``total`` says
+    how often each is seen, ``failure`` where its failure arc leads. ``entered`` is the state in which each
+    token is read and ``arcs`` how often the token follows the last one and two words.
+    """
 
     def __init__(self, batch: pa.RecordBatch, k: int, n_tokens: int, n_types: int):
-        self.block = _unpacked(batch, k)
-        got: dict[int, list] = defaultdict(list)
-        for part in sorted(batch.column("answers")[k].as_py(), key=lambda a: (a["gram"], a["span"])):
-            got[part["gram"]].append(_spread(part["totals"]))
-        uni, bi = (np.concatenate([np.zeros(0, np.int64), *got[g]]) for g in (1, 2))
-        b = self.block
-        self.seen = uni[b.uni_at]  # of each token
-        self.state = uni[b.uni_of[b.before]] if len(b.tokens) else self.seen  # of the word before it: the end starts as many texts as it ends
-        self.arc = bi[b.bi_at]
+        b = self.block = _unpacked(batch, k)
+        short, long = _totals(batch, k, "answers"), _totals(batch, k, "long_answers")
+        n_uni, n_bi, n = len(b.uni_keys), len(b.bi_keys), len(b.tokens)
+        self.total = np.concatenate([[0], short[1], short[2]])
+        self.failure = np.zeros(1 + n_uni + n_bi, np.int64)
+        self.failure[1 + n_uni + b.bi_at] = 1 + b.uni_at
+        reached, _, which = b.trigrams(short[2])
+        self.entered = 1 + b.uni_of[b.before] if n else np.zeros(0, np.int64)
+        self.entered[reached] = 1 + n_uni + np.roll(b.bi_at, 1)[reached]
+        self.long = self.entered > n_uni
+        self.arcs = np.zeros((2, n), np.int64)
+        self.arcs[0] = short[2][b.bi_at]
+        self.arcs[1, reached] = long[3][which]
+        self.seen = short[1][b.uni_at]
         self.root = (self.seen + 1) / (n_tokens + n_types + 1)
-        self.level = np.minimum(np.log2(np.maximum(self.state, 1)).astype(np.int64), _LEVELS - 1)
+
+    def _chain(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(tokens, how often the state is seen, how often the arc is) for states of one word, then of two."""
+        every, held = np.arange(len(self.entered)), np.flatnonzero(self.long)
+        one = np.where(self.long, self.failure[self.entered], self.entered)
+        return [(every, self.total[one], self.arcs[0]), (held, self.total[self.entered[held]], self.arcs[1, held])]
 
     def held(self) -> np.ndarray:
-        """Training tokens by state level and by how much likelier the arc makes them when they themselves aren't counted."""
-        own = self.block.train
-        arc = np.maximum(self.arc[own] - 1, 0) / np.maximum(self.state[own] - 1, 1)
-        gain = np.log10(np.maximum(arc, 1e-12) / self.root[own])
-        bin_ = np.where(arc > 0, np.clip(np.round(gain / _BIN_WIDTH) + _BINS // 4, 1, _BINS - 1), 0).astype(np.int64)
-        return np.bincount(self.level[own] * _BINS + bin_, minlength=_LEVELS * _BINS)
+        """Training tokens by length and level of their states and by how much likelier the arc makes them when they themselves aren't counted."""
+        cells, lower = [], self.root.copy()
+        for order, (at, seen, arc) in enumerate(self._chain()):
+            own = self.block.train[at]
+            left = np.maximum(arc - 1, 0) / np.maximum(seen - 1, 1)
+            gain = np.log10(np.maximum(left, 1e-12) / lower[at])
+            bin_ = np.where(left > 0, np.clip(np.round(gain / _BIN_WIDTH) + _BINS // 4, 1, _BINS - 1), 0).astype(np.int64)
+            cells.append(((order * _LEVELS + _level(seen)) * _BINS + bin_)[own])
+            lower[at] = (left + lower[at]) / 2
+        return np.bincount(np.concatenate(cells), minlength=2 * _LEVELS * _BINS)
 
     def traverse(self, weights: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(tokens, known, base, score) of each text: the state follows the words, the logarithms add up."""
-        fail = np.where(self.state > 0, weights[self.level], 1.0)
-        p = (1 - fail) * self.arc / np.maximum(self.state, 1) + fail * self.root
+        """(tokens, known, base, score) of each text: down the failure arcs the probability of each token builds up, and the logarithms add up."""
+        p = self.root.copy()
+        for order, (at, seen, arc) in enumerate(self._chain()):
+            fail = np.where(seen > 0, weights[order, _level(seen)], 1.0)
+            p[at] = (1 - fail) * arc / np.maximum(seen, 1) + fail * p[at]
         begin = np.concatenate([[0], np.cumsum(self.block.lengths)[:-1]])
         return self.block.lengths, *(np.add.reduceat(x, begin) for x in ((self.seen > 0).astype(np.int64), np.log10(self.root), np.log10(p)))
 
 
+def _level(seen: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(seen, 1)).astype(np.int64), _LEVELS - 1)
+
+
 def interpolation_weights(held: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Weight of the failure arc by state level, maximising the likelihood of the binned leave-one-out ratios."""
-    table = held.reshape(_LEVELS, _BINS).astype(float)
+    """Weight of the failure arc by length and level of the state, maximising the likelihood of the binned leave-one-out ratios."""
+    table = held.reshape(2, _LEVELS, _BINS).astype(float)
     ratio = 10.0 ** ((np.arange(_BINS) - _BINS // 4) * _BIN_WIDTH)
     ratio[0] = 0.0
-    weights = np.full(_LEVELS, 0.5)
+    weights = np.full((2, _LEVELS), 0.5)
     for _ in range(rounds):
-        share = weights[:, None] / (weights[:, None] + (1 - weights[:, None]) * ratio)
-        weights = ((table * share).sum(axis=1) + 0.5) / (table.sum(axis=1) + 1)
+        share = weights[..., None] / (weights[..., None] + (1 - weights[..., None]) * ratio)
+        weights = ((table * share).sum(axis=2) + 0.5) / (table.sum(axis=2) + 1)
     return np.clip(weights, 1e-4, 1 - 1e-4)
 
 
-def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score); ``train`` names the boolean column of training rows."""
+@dataclass(frozen=True)
+class LanguageModel:
+    """Blocks with the answers to all that they asked for, and what every traversal needs."""
+
+    blocks: DataFrame
+    weights: np.ndarray
+    n_tokens: int
+    n_types: int
+
+    def score(self) -> DataFrame:
+        """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document that was read."""
+        kind = self.blocks.schema["ids"].dataType.elementType.simpleString()
+        n_tokens, n_types, weights = self.n_tokens, self.n_types, self.weights
+
+        def traversing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(len(batch)):
+                    n, known, base, score = _Automaton(batch, k, n_tokens, n_types).traverse(weights)
+                    columns = [batch.column("ids")[k].values, pa.array(n), pa.array(known), pa.array(np.full(len(n), n_tokens, np.int64)), pa.array(base), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        return self.blocks.mapInArrow(traversing, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+_ANSWERED = "span int, gram int, block long, totals binary, types long, tokens long"
+
+
+def _answered(asked: DataFrame, blocks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(answers, blocks with their answers in ``column``), both stored."""
+    answers = store(asked.groupBy("span", "gram").applyInPandas(_answer, _ANSWERED), "answers")
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("gram", "span", "totals")).alias(column))
+    return answers, store(blocks.join(by_block, "block", "left"), "answered")
+
+
+def train_and_read(docs: DataFrame, train: str = "train") -> LanguageModel:
+    """The model of the rows that the boolean column ``train`` marks, with all rows read for scoring."""
     kind = dict(docs.dtypes)["doc_id"]
     slim = docs.select("doc_id", text_of().alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
     read = slim.mapInArrow(_read_blocks, f"ids array<{kind}>, train array<boolean>, lengths array<long>, words array<long>, tokens binary, n_keys long")
     blocks = store(read.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
     ranges = max(1, -(-(blocks.agg(F.sum("n_keys")).first()[0] or 0) // RANGE_KEYS))
-    asked = blocks.drop("ids", "n_keys").mapInArrow(_ask(ranges), "span int, gram int, block long, keys binary, counts binary")
-    answers = store(asked.groupBy("span", "gram").applyInPandas(_answer, "span int, gram int, block long, totals binary, types long, tokens long"), "answers")
+    answers, short = _answered(blocks.drop("ids", "n_keys").mapInArrow(_ask_short(ranges), _ASKED), blocks.drop("n_keys"), "answers")
     size = answers.where("gram = 1").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     n_types, n_tokens = size["types"] or 0, size["tokens"] or 0
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("gram", "span", "totals")).alias("answers"))
-    full = store(blocks.join(by_block, "block").drop("n_keys"), "answered")
+    discard(blocks, answers)
+    answers, full = _answered(short.drop("ids").mapInArrow(_ask_long(ranges), _ASKED), short, "long_answers")
+    discard(short, answers)
 
     def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_LEVELS * _BINS, np.int64)
+        total = np.zeros(2 * _LEVELS * _BINS, np.int64)
         for batch in batches:
             for k in range(len(batch)):
                 total += _Automaton(batch, k, n_tokens, n_types).held()
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
 
-    held = np.zeros(_LEVELS * _BINS, np.int64)
+    held = np.zeros(2 * _LEVELS * _BINS, np.int64)
     for row in full.mapInArrow(holding, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        held[row["cell"]] = row["n"]  # at most _LEVELS * _BINS rows
-    weights = interpolation_weights(held)
-
-    def traversing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                n, known, base, score = _Automaton(batch, k, n_tokens, n_types).traverse(weights)
-                columns = [batch.column("ids")[k].values, pa.array(n), pa.array(known), pa.array(np.full(len(n), n_tokens, np.int64)), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return full.mapInArrow(traversing, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        held[row["cell"]] = row["n"]  # at most 2 * _LEVELS * _BINS rows
+    return LanguageModel(full, interpolation_weights(held), n_tokens, n_types)
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(doc_crc(F.col("doc_id")) % 7 == 2, F.lit(False))
-    scored = score_documents(documents(spark, sf_dir).select("doc_id", "text", (~held_out).alias("train")))
+    scored = train_and_read(documents(spark, sf_dir).select("doc_id", "text", (~held_out).alias("train"))).score()
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
