@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,48 +29,28 @@ from pyspark.sql import functions as F
 from .common import doc_crc, documents, text_of
 
 SIZES, HASH_BITS = (3, 4, 5), 20
-#: Characters taken at a time, so that a batch of long texts doesn't fill the worker's memory.
-CHUNK_CHARS = 250_000
 MAX_ROWS, SMOOTHING, THRESHOLD = 4000, 5.0, 0.7
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about ``CHUNK_CHARS`` characters, one text at least."""
-    begin = size = 0
-    for k, text in enumerate(texts):
-        if k > begin and size + len(text) > CHUNK_CHARS:
-            yield begin, k
-            begin, size = k, 0
-        size += len(text)
-    if texts:
-        yield begin, len(texts)
-
-
-def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed n-gram, row) of every position of every text, as two flat arrays."""
-    raw = [t.encode("utf-32-le", "replace") for t in texts]
-    # Zeros after each text keep n-grams from crossing into the next.
-    gap = bytes(4 * max(SIZES))
-    flat = np.frombuffer(gap.join([*raw, b""]), dtype=np.uint32).astype(np.uint64)
-    flat[(flat >= 65) & (flat <= 90)] += np.uint64(32)
-    row = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) // 4 + max(SIZES) for r in raw])
-    codes, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    value, n, whole = flat.copy(), len(flat), flat != 0
-    for k in range(1, min(max(SIZES), n)):
-        value = value[: n - k] * _BASE + flat[k:]
-        whole = whole[: n - k] & (flat[k:] != 0)
-        if k + 1 in SIZES:
-            codes.append((((value[whole] + np.uint64(k)) * _MIX) >> np.uint64(64 - HASH_BITS)).astype(np.int32))
-            rows.append(row[: n - k][whole])
-    return np.concatenate(codes), np.concatenate(rows)
+@lru_cache(maxsize=1)
+def _last_place() -> np.ndarray:
+    return np.zeros(1 << HASH_BITS, np.int32)
 
 
-def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, n-gram) pairs of one chunk of texts, each once, by row."""
-    codes, rows = gram_codes(texts)
-    pairs = np.unique(rows.astype(np.int64) << HASH_BITS | codes)
-    return pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
+def distinct_grams(text: str) -> np.ndarray:
+    """The hashed n-grams of a text, each once."""
+    flat = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    flat[(flat >= 65) & (flat <= 90)] += np.uint64(32)
+    value, codes = flat, [np.zeros(0, np.int32)]
+    for k in range(1, min(max(SIZES), len(flat))):
+        value = value[:-1] * _BASE + flat[k:]
+        if k + 1 in SIZES:
+            codes.append((((value + np.uint64(k)) * _MIX) >> np.uint64(64 - HASH_BITS)).astype(np.int32))
+    found, last = np.concatenate(codes), _last_place()
+    place = np.arange(len(found), dtype=np.int32)
+    last[found] = place  # what an earlier text left there is never looked at
+    return found[last[found] == place]
 
 
 @dataclass(frozen=True)
@@ -79,23 +60,17 @@ class ToxicityModel:
 
     def score(self, texts: list[str]) -> np.ndarray:
         z = np.full(len(texts), self.bias)
-        for a, b in chunks(texts):
-            row, gram = distinct_grams(texts[a:b])
-            size = np.maximum(np.bincount(row, minlength=b - a), 1)
-            z[a:b] += np.bincount(row, weights=self.weights[gram], minlength=b - a) / np.sqrt(size)
+        for k, text in enumerate(texts):
+            grams = distinct_grams(text)
+            z[k] += self.weights[grams].sum(dtype=np.float64) / np.sqrt(max(len(grams), 1))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_class = np.zeros((2, 1 << HASH_BITS), dtype=np.int32)
     for batch in batches:
-        label = np.array(batch.column("label").to_pylist(), dtype=np.int64)
-        texts = batch.column("text").to_pylist()
-        for a, b in chunks(texts):
-            row, gram = distinct_grams(texts[a:b])
-            for c in (0, 1):
-                seen, times = np.unique(gram[label[a:b][row] == c], return_counts=True)
-                by_class[c, seen] += times.astype(np.int32)
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            by_class[label, distinct_grams(text)] += 1
     grams = np.flatnonzero(by_class.sum(axis=0))
     for k in range(0, len(grams), 50_000):
         g = grams[k : k + 50_000]
@@ -104,11 +79,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in chunks(texts):
-            row, gram = distinct_grams(texts[a:b])
-            ends = np.searchsorted(row, np.arange(b - a + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram, pa.int32()))], names=["label", "grams"])
+        for a in range(0, len(batch), 200):
+            part = batch.slice(a, 200)
+            grams = [distinct_grams(t) for t in part.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, grams)])
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams)))], names=["label", "grams"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
