@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,7 +47,7 @@ def encoders(name: str = TOKENIZER):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    added = [t["content"] for t in json.loads(slow.to_str()).get("added_tokens") or ()]
+    added = [t.content for t in slow.get_added_tokens_decoder().values()]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
@@ -65,7 +64,7 @@ def token_ids(text: str, name: str = TOKENIZER) -> list[int]:
 
 def _pieces(max_tokens: int, end_id: int, name: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
             source, piece, start, length, crc, ids_out = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.array([*token_ids(text, name), end_id], dtype="<u4")
