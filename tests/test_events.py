@@ -141,6 +141,85 @@ def test_whole_analysis_on_synthetic_events(spark):
     assert results.chains.count() == 5000 - 32
 
 
+def test_analysis_of_a_remote_service(spark, tmp_path):
+    def at(second, host, event_id, **more):
+        return {"timestamp": f"2026-01-01T00:00:{second:02d}Z", "host": host, "source": "Microsoft-Windows-Security-Auditing", "event_id": event_id, "user": "LAB\\bob"} | more
+
+    records = [
+        at(0, "a.lab", "4688", command_line="psexec.exe \\\\b cmd", NewProcessId="0x10", NewProcessName="psexec.exe"),
+        at(2, "b.lab", "4624", LogonType="3", TargetUserName="bob", TargetLogonId="0x0A"),
+        at(4, "b.lab", "4688", command_line="C:\\Windows\\PSEXESVC.exe", NewProcessId="0x20", NewProcessName="psexesvc.exe"),
+        at(6, "b.lab", "4688", command_line="cmd", NewProcessId="0x30", ProcessId="0x20"),
+        at(9, "b.lab", "4634", TargetLogonId="0xa"),
+    ]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, records)))
+    found = analyse(sources.read_json_lines(spark, str(tmp_path)), [Rule("P", "remote tool", "command_line", "psexe", "contains", "high", "T1569.002")])
+    kinds = {r.kind: r for r in found.chains.collect()}
+    assert set(kinds) == {"session", "remote_execution"} and kinds["session"].chain_id == "session_b.lab_0xa"
+    assert [r.ord for r in found.members.where("kind = 'remote_execution'").orderBy("ord").collect()] == [0, 1, 2]
+    assert [(r.source_host, r.target_host, r.technique, r.n_chains) for r in found.episodes.collect()] == [("a.lab", "b.lab", "T1569.002", 1)]
+    assert found.events.where("ord = 3 AND raw LIKE '%ParentProcessName%psexesvc.exe%'").count() == 1
+    assert found.placed.count() == 2 and found.scenarios.count() == 0
+    found.write(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "chains")).count() == 2
+
+
+def test_store_writes_once(spark, tmp_path):
+    from tracemill.operators import store
+
+    events = sources.synthetic(spark, 50)
+    for _ in range(2):
+        store.store_events(events, str(tmp_path))
+        store.store_findings(rules.detect(events, [Rule("E", "e", "command_line", "--job 7", "contains")]), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/events").count() == 50 and spark.read.parquet(f"{tmp_path}/findings").count() == 1
+    chains = spark.createDataFrame([("c1", 0.5), ("c2", 0.5)], "chain_id string, confidence double")
+    members = spark.createDataFrame([("c1", 1), ("c1", 1)], "chain_id string, ord long")
+    store.store_chains(chains, members, str(tmp_path), "g1")
+    store.store_chains(chains.where("chain_id = 'c1'").withColumn("confidence", F.lit(0.9)), members, str(tmp_path), "g2")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/chains/g2").select("chain_id", "confidence").collect())) == [("c1", 0.9), ("c2", 0.5)]
+    assert spark.read.parquet(f"{tmp_path}/members/g2").count() == 1
+
+
+def test_browser_history_and_archives(spark, tmp_path):
+    import bz2
+    import sqlite3
+    import zipfile
+
+    from tracemill.sources import artifacts
+
+    (tmp_path / "profile").mkdir()
+    base = sqlite3.connect(tmp_path / "profile" / "History")
+    base.executescript("CREATE TABLE urls(id, url, title, visit_count, last_visit_time); CREATE TABLE visits(id, url, visit_time); INSERT INTO urls VALUES (1, 'http://x', 'X', 1, 0); INSERT INTO visits VALUES (1, 1, 11644473600000001), (2, 1, 0), (3, 9, 5);")
+    base.commit()
+    base.close()
+    assert [tuple(r)[1:] for r in artifacts.browser_history(spark, str(tmp_path)).collect()] == [(1, "http://x", "X", "1970-01-01T00:00:00.000001+00:00")]
+    with zipfile.ZipFile(tmp_path / "logs.zip", "w") as box:
+        box.writestr("a.jsonl", '{"a": 1}\n{"a": 2}\n')
+        box.writestr("b.jsonl.bz2", bz2.compress(b'{"b": 1}\n'))
+    assert [(r.member, r.line) for r in artifacts.archived_lines(spark, str(tmp_path)).orderBy("member", "line").collect()] == [("a.jsonl", 0), ("a.jsonl", 1), ("b.jsonl.bz2", 0)]
+
+
+def test_decoders(spark):
+    row = spark.range(1).select(
+        decode.script(F.lit("SUVYKCR4KQ==")).alias("a"), decode.script(F.lit("$v = 'calc'; & $v; IEX ($v)")).alias("b"), decode.macro(F.lit('x = Chr(65) & "b"')).alias("c"),
+        decode.plain_cipher(F.lit("uryyb")).alias("d"), decode.deobfuscated(F.lit("powershell $x = 'y'")).alias("e"), decode.base64_text(F.lit("6QDoAOoA6wDpAOgA")).alias("f"),
+    ).first()
+    assert (row.a.decoded, row.a.techniques) == ("IEX($x)", ["base64 round 1", "evaluation"])
+    assert row.b.decoded == '"calc" = \'calc\'; & "calc"; IEX ("calc")' and row.b.confidence == 0.25
+    assert row.c.decoded == 'x = "Ab"' and row.c.confidence == 0.5
+    assert row.e.kind == "script" or row.e.kind == "cipher"
+    assert "rotation by 13" in row.d.techniques and row.f == "éèêëéè"
+
+
+def test_event_xml_framing(spark, tmp_path):
+    from tracemill.sources import windows_xml
+
+    one = "<Event xmlns='u'><System><EventID>{}</EventID><Computer>h</Computer></System>\r\n<EventData><Data Name='CommandLine'>x &amp; y</Data></EventData></Event>\n"
+    (tmp_path / "e.xml").write_text("<Events>" + "".join(one.format(k) for k in (1, 2, 3)) + "</Events>\n")
+    found = windows_xml.events(windows_xml.records(spark, str(tmp_path))).orderBy("ord").collect()
+    assert [(r.event_id, r.command_line, r.source) for r in found] == [(str(k), "x & y", "WindowsEventLog") for k in (1, 2, 3)]
+
+
 def test_empty_inputs(spark):
     events = sources.from_json_lines(lines(spark, []))
     assert rules.detect(events, [Rule("E", "e", "user", "x")]).count() == 0

@@ -46,14 +46,14 @@ def aliases(events: DataFrame) -> DataFrame:
     return named.groupBy("alias").agg(F.min("host").alias("target_host"), F.max("host").alias("last")).where("target_host = last").drop("last")
 
 
-def _first(commands: DataFrame, evidence: DataFrame, alias: str, condition: Column = F.lit(True), back: int = BACK, ahead: int = AHEAD, last: bool = False, extra: Sequence[str] = ()) -> DataFrame:
+def _first(commands: DataFrame, evidence: DataFrame, alias: str, condition: Column | None = None, back: int = BACK, ahead: int = AHEAD, last: bool = False, extra: Sequence[str] = ()) -> DataFrame:
     """Each command's first (or last) evidence on its target from ``back`` seconds before to ``ahead`` after, as ``alias`` (r_ord and extras)."""
     width, reach = (back + ahead) * SECOND, F.col("ts_us") - back * SECOND
     slot = F.floor(reach / width)
     a = commands.select("*", F.explode(F.array(slot, slot + 1)).alias("slot"))
     b = evidence.select(*[F.col(c).alias(f"r_{c}") for c in evidence.columns], F.floor(F.col("ts_us") / width).alias("r_slot"))
     on = (F.col("target_host") == F.col("r_host")) & (F.col("slot") == F.col("r_slot")) & F.col("r_ts_us").between(reach, F.col("ts_us") + ahead * SECOND)
-    joined = a.join(b, on & condition)
+    joined = a.join(b, on if condition is None else on & condition)
     pick = F.max if last else F.min
     return joined.groupBy("command").agg(pick(F.struct("r_ts_us", "r_ord", *[f"r_{c}" for c in extra])).alias(alias))
 
@@ -109,7 +109,10 @@ def matches(events: DataFrame) -> DataFrame:
     return shaped.withColumn("place", F.row_number().over(same)).where("place = 1").drop("place", "ts_us")
 
 
+def chain_id() -> Column:
+    return F.concat_ws("_", F.lit("remote_execution"), "source_ord", "target_host", "method", "operation", "service")
+
+
 def members(found: DataFrame) -> DataFrame:
     """(kind, chain_id, ord) of the source and the evidence of each match."""
-    chain = F.concat_ws("_", F.lit("remote_execution"), "source_ord", "target_host", "method", "operation", "service")
-    return found.select(F.lit("remote_execution").alias("kind"), chain.alias("chain_id"), F.explode(F.array_distinct(F.concat(F.array("source_ord"), "evidence"))).alias("ord"))
+    return found.select(F.lit("remote_execution").alias("kind"), chain_id().alias("chain_id"), F.explode(F.array_distinct(F.concat(F.array("source_ord"), "evidence"))).alias("ord"))

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import correlation, rules, summaries
+from tracemill.functions import text as T
+from tracemill.operators import canonical, correlation, graph, logons, remote, rules, scenarios, scopes, summaries
 from tracemill.sources import events as sources
+from tracemill.sources.events import lookup
 
 
 @dataclass(frozen=True)
@@ -32,14 +34,25 @@ DEFAULT_LINKS = (
 
 
 def _side(events: DataFrame, wanted: str | tuple[str, ...]) -> DataFrame:
-    return events.where(F.col("source") == wanted if isinstance(wanted, str) else correlation.fits(wanted))
+    """Events of one source, or that fit patterns, plainly or by what the canonical view calls them."""
+    if isinstance(wanted, str):
+        return events.where(F.col("source") == wanted)
+    if "raw" not in events.columns or not any(p.startswith("source:") for p in wanted):
+        return events.where(correlation.fits(wanted))
+    return canonical.enrich(events).where(correlation.fits(wanted) | canonical.called(F.col("canonical"), wanted)).drop("canonical")
 
 
 @dataclass(frozen=True)
 class Results:
+    """Frames of an analysis. Chains of all kinds have their events in ``members``; ``placed`` names the component of each."""
+
     events: DataFrame
     findings: DataFrame
     chains: DataFrame
+    members: DataFrame | None = None
+    placed: DataFrame | None = None
+    scenarios: DataFrame | None = None
+    episodes: DataFrame | None = None
 
     @property
     def risk(self) -> DataFrame:
@@ -53,7 +66,52 @@ class Results:
         """All frames as Parquet; findings also by severity, which report queries prune by."""
         self.events.write.mode("overwrite").parquet(f"{folder}/events")
         self.findings.write.mode("overwrite").partitionBy("severity").parquet(f"{folder}/findings")
-        self.chains.write.mode("overwrite").parquet(f"{folder}/chains")
+        for name in ("chains", "members", "placed", "scenarios", "episodes"):
+            if (frame := getattr(self, name)) is not None:
+                frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def fields(events: DataFrame) -> DataFrame:
+    """Events with what sessions and remote execution look at, read from their records once."""
+    raw = F.from_json("raw", "map<string,string>")
+    inner = lambda name: F.from_json(lookup(F.col("_m"), name), "map<string,string>")
+    read = events.select("*", raw.alias("_m")).select("*", inner("event_data").alias("_d"))
+    at = lambda *names: F.coalesce(lookup(F.col("_m"), *names), lookup(F.col("_d"), *names))
+    shown = F.array(F.nullif("command_line", F.lit("")), at("CommandLine", "ProcessCommandLine"), F.when(F.col("event_id") == "4104", at("ScriptBlockText")))
+    texts = F.array_distinct(F.filter(shown, lambda t: t.isNotNull() & (F.trim(t) != "")))
+    held = {
+        "target_logon_id": at("TargetLogonId"), "session_id": F.coalesce(at("SessionId"), at("session_id")), "logon_type": at("LogonType"), "target_user": at("TargetUserName", "TargetUser", "AccountName"),
+        "service": at("ServiceName"), "service_file": at("ServiceFileName", "ImagePath"), "image": at("Image", "NewProcessName"), "texts": texts, "channel": at("Channel"), "record_id": at("EventRecordID", "record_id"),
+    }
+    wide = read.select(*events.columns, *[c.alias(n) for n, c in held.items()])
+    key = F.concat_ws("|", "timestamp", "host", "source", "event_id", F.when(F.col("record_id").isNotNull(), F.concat_ws("|", "channel", "record_id")))
+    return wide.withColumn("session", logons.explicit_session()).withColumn("key", key)
+
+
+def with_parents(events: DataFrame) -> DataFrame:
+    """Events whose record names the process that made theirs: the latest creation of that id on the host within 300 s before.
+
+    Only process creations of the security log take part; a name that was there before is replaced.
+    """
+    is_creation = (F.lower("source").contains("security-auditing")) & (F.col("event_id") == "4688")
+    raw = F.from_json("raw", "map<string,string>")
+    ids = events.where(is_creation).select("ord", "ts_us", "host", T.process_id(lookup(raw, "NewProcessId")).alias("child"), T.process_id(lookup(raw, "ProcessId", "CreatorProcessId")).alias("parent"), lookup(raw, "NewProcessName").alias("name"))
+    found = correlation.as_of_parent(ids, ["host"], "child", "parent", "name").where("parent_name IS NOT NULL").select("ord", "parent_name")
+    joined = events.join(found, "ord", "left")
+    merged = F.to_json(F.map_concat(F.map_filter(F.from_json("raw", "map<string,string>"), lambda k, _: k != "ParentProcessName"), F.create_map(F.lit("ParentProcessName"), F.col("parent_name"))))
+    return joined.withColumn("raw", F.when(F.col("parent_name").isNotNull(), merged).otherwise(F.col("raw"))).drop("parent_name")
+
+
+def link_members(events: DataFrame, links: Sequence[Link]) -> DataFrame:
+    """(kind, chain_id, ord, ts_us): each link's first events with all second ones that they reach; canonical names count as sources."""
+    found = None
+    for link in links:
+        pairs = correlation.interval_join(_side(events, link.first), _side(events, link.second), link.keys, link.seconds)
+        chain = F.concat_ws("_", F.lit(link.kind), "a_ord")
+        both = F.inline(F.array(F.struct(F.col("a_ord").alias("ord"), F.col("a_ts_us").alias("ts_us")), F.struct(F.col("b_ord").alias("ord"), F.col("b_ts_us").alias("ts_us"))))
+        own = pairs.select(F.lit(link.kind).alias("kind"), chain.alias("chain_id"), both).distinct()
+        found = own if found is None else found.unionAll(own)
+    return found
 
 
 def correlate(events: DataFrame, findings: DataFrame, links: Sequence[Link]) -> DataFrame:
@@ -72,8 +130,42 @@ def correlate(events: DataFrame, findings: DataFrame, links: Sequence[Link]) ->
     return sized.select("kind", "a_ord", "n_events", "n_findings", "span_us", F.round(confidence, 6).alias("confidence"))
 
 
-def analyse(events: DataFrame, detection: Iterable[rules.Rule], links: Sequence[Link] = DEFAULT_LINKS, least: str = "low") -> Results:
-    """Normalised events, their findings from a severity on, and the chains between them."""
-    clean = sources.normalise(events)
-    findings = rules.filter_findings(rules.detect(clean, detection), least)
-    return Results(clean, findings, correlate(clean, findings, links))
+def analyse(
+    events: DataFrame, detection: Iterable[rules.Rule], links: Sequence[Link] = DEFAULT_LINKS, least: str = "low", templates: Sequence[scenarios.Template] = scenarios.BUILT_IN,
+    external: DataFrame | None = None, limit: int | None = None,
+) -> Results:
+    """Normalised events, their findings from a severity on, chains of all kinds, components and scenarios.
+
+    ``external`` findings of another detector, with the columns of ours, are filtered alike. ``limit`` keeps
+    that many events in input order. Findings and chains are cut from their lineage, as much is built on them.
+    """
+    clean = with_parents(sources.normalise(events))
+    clean = clean.orderBy("ord").limit(limit) if limit else clean
+    found = rules.detect(clean, detection)
+    found = found.unionByName(external) if external is not None else found
+    findings = graph.cut(rules.filter_findings(found, least))
+    wide = fields(clean)
+    matches = graph.cut(remote.matches(wide))
+    life = logons.lifecycles(wide)
+    columns = ("kind", "chain_id", "ord", "ts_us")
+    free = F.lit(None).cast("string").alias("instance")
+    timed = remote.members(matches).join(wide.select("ord", "ts_us"), "ord")
+    others = link_members(clean, links).select(*columns).unionAll(logons.activities(wide, findings).select(*columns)).unionAll(timed.select(*columns))
+    members = graph.cut(life.select(*columns, F.when(F.col("reused"), F.col("chain_id")).alias("instance")).unionAll(others.select("*", free)))
+    sure = F.when(F.col("kind") == "session", F.lit(logons.SESSION_CONFIDENCE)).otherwise(F.col("confidence"))
+    chains = graph.cut(logons.distinct_chains(logons.with_confidence(members, findings, "instance").withColumn("confidence", sure)))
+    members = members.join(chains.select("chain_id"), "chain_id", "left_semi")
+    rows = graph.cut(scopes.scope_rows(members, wide))
+    placed = graph.cut(scopes.components(chains.select("chain_id", "start_us", "end_us", "instance"), rows))
+    marked = findings.join(wide.select("ord", "session"), "ord", "left")
+    mine = scopes.findings_of(marked, placed, rows, members, chains).join(findings.select("ord", "rule_id", "technique"), ["ord", "rule_id"])
+    kinds = placed.join(chains.select("chain_id", "kind"), "chain_id").select("component", "kind")
+    spaces = scopes.namespaces(placed, rows, chains)
+    shape = ("component", "scenario", "stage", "techniques", "n_chains", "confidence")
+    by_template = scenarios.infer(kinds, mine, templates, ["component"]).withColumnRenamed("template_id", "scenario").select(*shape)
+    seen = mine.groupBy("component").agg(F.collect_set(F.upper("technique")).alias("techniques"))
+    inferred = scopes.scenario_ids(by_template.unionByName(scopes.from_chains(kinds, seen).select(*shape)), spaces)
+    grave = scopes.grave_matches(matches, clean, findings)
+    of_match = remote.members(matches).select("chain_id").distinct()
+    rated = grave.withColumn("chain_id", remote.chain_id()).join(chains.select("chain_id", "confidence").join(of_match, "chain_id", "left_semi"), "chain_id")
+    return Results(clean, findings, chains, members, placed, inferred, scopes.episodes(rated))

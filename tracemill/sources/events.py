@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ("ord", "ts_us", "timestamp", "host", "source", "event_id", "level", "user", "command_line", "raw")
@@ -72,9 +72,18 @@ def from_json_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Events of all JSON Lines files under ``path``. Order within a file follows Spark's row numbers of the scan."""
+    """Events of all JSON Lines files under ``path``, numbered by path, block and line.
+
+    Blocks are numbered first, in one row each, so ``ord`` doesn't depend on how Spark packs files into tasks.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    return from_json_lines(lines.select("value", F.monotonically_increasing_id().alias("ord")))
+    at = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    blocks = at.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+    begin = F.sum("n").over(Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = blocks.select("path", "block", "first", F.coalesce(begin, F.lit(0)).alias("begin"))
+    # A block's lines are numbered in a row by the scan, so the distance to its first one is the place in it.
+    joined = at.join(numbered, ["path", "block"])
+    return from_json_lines(joined.select("value", (F.col("begin") + F.col("line") - F.col("first")).alias("ord")))
 
 
 def from_table(events: DataFrame) -> DataFrame:
