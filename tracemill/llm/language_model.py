@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, doc_crc, documents, store, text_of
+from .common import doc_crc, documents, store, text_of
 from .near_duplicates import mix
 
 BLOCK_CHARS, RANGE_KEYS, LEAST_STATE = 4_000_000, 2_000_000, 2
@@ -304,14 +304,13 @@ class LanguageModel:
         return self.blocks.mapInArrow(traversing, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-_ANSWERED = "span int, gram int, block long, totals binary, types long, tokens long"
+def _answers(asked: DataFrame) -> DataFrame:
+    return store(asked.groupBy("span", "gram").applyInPandas(_answer, "span int, gram int, block long, totals binary, types long, tokens long"), "answers")
 
 
-def _answered(asked: DataFrame, blocks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(answers, blocks with their answers in ``column``), both stored."""
-    answers = store(asked.groupBy("span", "gram").applyInPandas(_answer, _ANSWERED), "answers")
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("gram", "span", "totals")).alias(column))
-    return answers, store(blocks.join(by_block, "block", "left"), "answered")
+def _with_answers(blocks: DataFrame, answers: DataFrame, column: str) -> DataFrame:
+    """Blocks with all their answers. Not stored, so that the blocks lie on disk once, and once more while they are joined."""
+    return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("gram", "span", "totals")).alias(column)), "block", "left")
 
 
 def train_and_read(docs: DataFrame, train: str = "train") -> LanguageModel:
@@ -321,12 +320,11 @@ def train_and_read(docs: DataFrame, train: str = "train") -> LanguageModel:
     read = slim.mapInArrow(_read_blocks, f"ids array<{kind}>, train array<boolean>, lengths array<long>, words array<long>, tokens binary, n_keys long")
     blocks = store(read.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
     ranges = max(1, -(-(blocks.agg(F.sum("n_keys")).first()[0] or 0) // RANGE_KEYS))
-    answers, short = _answered(blocks.drop("ids", "n_keys").mapInArrow(_ask_short(ranges), _ASKED), blocks.drop("n_keys"), "answers")
+    answers = _answers(blocks.drop("ids", "n_keys").mapInArrow(_ask_short(ranges), _ASKED))
     size = answers.where("gram = 1").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     n_types, n_tokens = size["types"] or 0, size["tokens"] or 0
-    discard(blocks, answers)
-    answers, full = _answered(short.drop("ids").mapInArrow(_ask_long(ranges), _ASKED), short, "long_answers")
-    discard(short, answers)
+    short = _with_answers(blocks.drop("n_keys"), answers, "answers")
+    full = _with_answers(short, _answers(short.drop("ids").mapInArrow(_ask_long(ranges), _ASKED)), "long_answers")
 
     def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * _LEVELS * _BINS, np.int64)
@@ -337,7 +335,7 @@ def train_and_read(docs: DataFrame, train: str = "train") -> LanguageModel:
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
 
     held = np.zeros(2 * _LEVELS * _BINS, np.int64)
-    for row in full.mapInArrow(holding, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for row in store(full.mapInArrow(holding, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "held").collect():
         held[row["cell"]] = row["n"]  # at most 2 * _LEVELS * _BINS rows
     return LanguageModel(full, interpolation_weights(held), n_tokens, n_types)
 
