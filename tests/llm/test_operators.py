@@ -61,7 +61,6 @@ def test_packing_round_trip(spark, folder, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     name = next(n for n in queries.QUERIES if n.startswith("op6_"))
     pieces, full = collections.defaultdict(list), collections.defaultdict(list)
     for r in queries.QUERIES[name](spark, folder).collect():
@@ -126,12 +125,19 @@ def test_toxicity_covers_all_documents(spark, folder, texts):
 
 
 def test_toxicity_held_out_accuracy(spark):
+    """Always answering 0 is right on 0.893 of these rows. Nearly half of the toxic ones hold no word of abuse."""
     import pandas as pd
 
     data = "/root/testdata/sf0.1"
-    labels = dict(pd.read_parquet(f"{data}/labels.parquet")[["doc_id", "toxic"]].values.tolist())
-    found = [(r.predicted, labels[i]) for i, r in run(spark, data, "op9_").items() if r.held_out and i in labels]
-    assert sum(p == y for p, y in found) / len(found) > 0.9
+    frame = pd.read_parquet(f"{data}/labels.parquet").merge(pd.read_parquet(f"{data}/documents.parquet"), on="doc_id")
+    toxic, texts = dict(zip(frame.doc_id, frame.toxic)), dict(zip(frame.doc_id, frame.text.fillna("")))
+    abuse = re.compile("trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron", re.IGNORECASE)
+    found = {i: r.predicted for i, r in run(spark, data, "op9_").items() if r.held_out and i in toxic}
+    abusive = [i for i in found if toxic[i] and abuse.search(texts[i])]
+    assert len(abusive) > 50 and sum(found[i] for i in abusive) / len(abusive) > 0.95
+    flagged = [i for i in found if found[i]]
+    assert sum(toxic[i] for i in flagged) / len(flagged) > 0.9
+    assert sum(found[i] == toxic[i] for i in found) / len(found) > 0.94
 
 
 def test_benchmark_passages_are_found(spark, folder, texts):
@@ -141,6 +147,20 @@ def test_benchmark_passages_are_found(spark, folder, texts):
     assert planted <= held and len(held) <= len(planted) + 1  # the document that the passage's words were drawn as may be held too
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, "x"), (None, "a b c", None, None, None, "x"), (5, "a b c", "en", "s", 5, "x"), (5, "a b c", "en", "s", 5, "x"), (6, "", "en", "s", 0, "x")]])
+def test_pipeline_on_nulls_repeats_clashes_and_empty_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in found) == sorted(map(str, [None, None, 5, 6] if rows else []))
+
+
 def test_pipeline_keeps_clean_documents(spark, folder):
     import corpus_pipeline
 
