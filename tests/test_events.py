@@ -235,3 +235,21 @@ def test_stream_gives_each_finding_once(spark, tmp_path):
     query = found.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.rule_id for r in spark.table("found").collect()] == ["E"]
+
+
+T0 = 1_704_067_200_000_000
+
+
+def run_stream(spark, frame, name, tmp_path):
+    query = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [tuple(r) for r in spark.table(name).collect()]
+
+
+def test_streams_of_sessions_and_parents(spark, tmp_path):
+    rows = [(0, T0, "H", "4624", "0x1", None, None, ""), (1, T0 + 1_000_000, "h", "4647", "0x1", None, None, ""), (2, T0 + 2_000_000, "H", "4634", "0x1", None, None, ""), (3, T0 + 3_000_000, "H", "4688", None, 7, 1, "a.exe"), (4, T0 + 4_000_000, "h", "4688", None, 8, 7, "b.exe")]
+    spark.createDataFrame(rows, "ord long, ts_us long, host string, event_id string, session string, child long, parent long, name string").write.parquet(str(tmp_path / "rows"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "rows")).schema).parquet(str(tmp_path / "rows"))
+    assert run_stream(spark, detection.sessions(stream), "logons", tmp_path) == [("h", "0x1", T0, T0 + 2_000_000, 3, True)]
+    creations = stream.where("event_id = '4688'").select("ord", "ts_us", "host", "child", "parent", "name")
+    assert run_stream(spark, detection.parents(creations), "parents", tmp_path) == [(4, T0 + 4_000_000, "h", "a.exe", 1_000_000)]
