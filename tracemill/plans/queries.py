@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
-from tracemill.operators import correlation, evaluation, rules, scenarios, sessions, summaries
+from tracemill.operators import correlation, evaluation, rules, scenarios, sessions, store, summaries
 from tracemill.operators.rules import Condition, Rule
 from tracemill.sources import events as sources
 
@@ -101,8 +101,8 @@ def filter_findings(spark, sf_dir):
 
 @query("SELECT event_id, host, source FROM (SELECT event_id, 'h' || (user_id % 4) AS host, event_type AS source, ts FROM events) WHERE host = 'h1' AND source = 'error' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'")
 def query_events(spark, sf_dir):
-    asked = table(spark, sf_dir, "events").where("ts >= TIMESTAMP_NTZ'2024-01-05' AND ts < TIMESTAMP_NTZ'2024-01-12' AND event_type = 'error'")
-    return asked.select("event_id", F.concat(F.lit("h"), F.col("user_id") % 4).alias("host"), F.col("event_type").alias("source")).where("host = 'h1'")
+    asked = store.in_window(events(spark, sf_dir), 1_704_412_800_000_000, 1_705_017_600_000_000)
+    return store.query_events(asked, "h1", "error", limit=None).select(F.col("ord").alias("event_id"), "host", "source")
 
 
 @query(
@@ -171,10 +171,18 @@ def indicator_counts(spark, sf_dir):
     return summaries.indicator_counts(pages, ["t"], ("url", "hash", "path", "domain")).select("kind", "value", "n")
 
 
-@query()
+@query(
+    r"""WITH i AS (
+  SELECT 'url' AS kind, trim(unnest(regexp_extract_all(text, '(?i)https?://[^\s''"<>]+')), '"''()[]{}<>.,; ') AS value FROM documents
+  UNION ALL SELECT 'ip', trim(unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))(?:[^0-9]|$)', 1)), '"''()[]{}<>.,; ') FROM documents
+  UNION ALL SELECT 'path', trim(unnest(regexp_extract_all(text, '\b[A-Za-z]:\\[^\s''"<>|]+')), '"''()[]{}<>.,; ') FROM documents
+  UNION ALL SELECT CASE length(value) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' ELSE 'sha256' END, lower(value) FROM (SELECT unnest(regexp_extract_all(text, '\b(?:[A-Fa-f0-9]{64}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{32})\b')) AS value FROM documents)
+  UNION ALL SELECT 'domain', lower(unnest(regexp_extract_all(text, '(?i)\b(?:[a-z0-9-]+\.)+(?:local|lan|internal|corp|com|net|org|io|co|kr|dev|cloud|xyz)\b'))) FROM documents)
+  SELECT kind, value, count(*) AS n FROM i WHERE value <> '' GROUP BY ALL"""
+)
 def document_indicators(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("timestamp"), "text")
-    return summaries.indicator_counts(docs, ["text"])
+    docs = table(spark, sf_dir, "documents").select(F.lit("").alias("timestamp"), "text")
+    return summaries.indicator_counts(docs, ["text"]).select("kind", "value", "n")
 
 
 @query(
@@ -301,7 +309,3 @@ def redact(spark, sf_dir):
 def host_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.host_name(F.col("c_name")).alias("host"), T.event_key("c_custkey", "c_name").alias("key"))
 
-
-def run_all(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    """Rows of each query."""
-    return {name: function(spark, sf_dir).count() for name, function in QUERIES.items()}
