@@ -253,3 +253,34 @@ def test_streams_of_sessions_and_parents(spark, tmp_path):
     assert run_stream(spark, detection.sessions(stream), "logons", tmp_path) == [("h", "0x1", T0, T0 + 2_000_000, 3, True)]
     creations = stream.where("event_id = '4688'").select("ord", "ts_us", "host", "child", "parent", "name")
     assert run_stream(spark, detection.parents(creations), "parents", tmp_path) == [(4, T0 + 4_000_000, "h", "a.exe", 1_000_000)]
+
+
+def test_rule_sets_and_limits(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert [r.id for r in rules.load_rules(str(tmp_path / "none"))] == ["R-ENC", "R-DL"]
+    own = rules.authored_rule({"id": "X.1", "pattern": "a"})
+    with pytest.raises(ValueError, match="twice"):
+        rules.with_added([own], [rules.authored_rule({"id": "x.1", "pattern": "b"})])
+    for bad in ({"id": "a b", "pattern": "x"}, {"id": "a", "pattern": "x" * 8001}, {"id": "a", "pattern": "x", "severity": "odd"}):
+        with pytest.raises(ValueError):
+            rules.authored_rule(bad)
+    row = spark.range(1).select(rules.techniques_of(F.lit("R-ENC"), F.lit(" t1059.001")).alias("t")).first()
+    assert row.t == ["T1059.001", "T1027.010"] and len(rules.tree_hash(str(tmp_path))) == 64
+
+
+def test_demonstrations_and_adapters(spark, tmp_path):
+    from tracemill.operators import reports, summaries
+    from tracemill.sources import artifacts
+
+    events = sources.from_json_lines(artifacts.demo_events(spark))
+    found = rules.detect(events, [Rule("D", "download", "command_line", "curl", "contains", "high", "T1105")])
+    told = {r.id: (r.n_events, r.n_hosts, r.n_findings) for r in artifacts.demo_summary(events, found).collect()}
+    assert told == {"encoded_download": (2, 1, 1), "remote_service": (2, 2, 0), "plain_work": (1, 1, 0)}
+    reports.write_html("Case", summaries.risk(found), found, events, str(tmp_path / "page"), rows=3)
+    page = spark.read.option("wholetext", "true").text(str(tmp_path / "page")).first().value
+    assert "<h1>Case</h1>" in page and "[REDACTED] http" in page
+    record = json.dumps({"type": "sysmon", "host": "h", "@timestamp": "t", "data_model": {"object": "process", "action": ["other", "create"], "fields": {"Command_Line": "x", "md5_hash": "1", "utc_time": "u"}}})
+    row = spark.range(1).select(artifacts.host_record(F.lit(record)).alias("r")).first().r
+    assert (row.timestamp, row.event_id, row.command_line, row.hashes, row.event_data) == ("u", "1", "x", "MD5=1", {"CommandLine": "x"})
+    nodes = json.dumps({"bsf": [{"id": "s", "nodetype": "step", "events": ["e1"], "techniques": [{"technique_id": "T1"}]}, {"id": "e1", "nodetype": "event", "host": "h", "time": "t"}, {"id": "e2", "nodetype": "event"}]})
+    assert [tuple(r)[1:5] for r in artifacts.ground_truth(spark.createDataFrame([(1, nodes)], "record long, value string")).collect()] == [("s", "T1", "h", "t")]

@@ -191,3 +191,24 @@ def checklist(coverage: DataFrame) -> DataFrame:
     return coverage.select("place", "tactic", steps[F.col("tactic")].alias("step")).where("step IS NOT NULL")
 
 
+
+
+HTML_ROWS = 10_000
+
+
+def write_html(title: str, risk: DataFrame, findings: DataFrame, events: DataFrame, path: str, rows: int = HTML_ROWS, redacted: bool = True) -> None:
+    """One page with the risk, the top findings and an evenly spread sample of events. What reaches the driver is bounded by ``rows``."""
+    import html
+
+    def table(frame: DataFrame) -> str:
+        cells = lambda tag, values: "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values)
+        body = "".join(f"<tr>{cells('td', r)}</tr>" for r in frame.limit(rows).collect())
+        return f"<table><tr>{cells('th', frame.columns)}</tr>{body}</table>"
+
+    shown = lambda c: T.redact(F.coalesce(c, F.lit(""))).alias(c) if redacted else F.col(c)
+    top = top_findings(findings, 50)
+    sample = even_sample(events, rows).orderBy("ts_us", "ord").select("timestamp", "host", "source", "event_id", "user", shown("command_line"))
+    parts = (("Risk", risk), ("Findings", top.withColumn("context", shown("context"))), ("Events", sample))
+    page = "".join(f"<h2>{name}</h2>{table(frame)}" for name, frame in parts)
+    text = f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{page}"
+    risk.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterable
@@ -19,6 +20,13 @@ from tracemill.sources.events import COLUMNS
 OPERATORS = ("contains", "startswith", "endswith", "equals", "regex", "equals_field", "basename_not_equals_field")
 SEVERITIES = ("low", "medium", "high", "critical")
 # Severities of Sigma levels; others are medium.
+# The rules that stand in where a folder has none, and techniques that a rule shows besides its own.
+DEFAULT_RULES = (
+    {"id": "R-ENC", "name": "Encoded PowerShell Command", "field": "command_line", "pattern": r"powershell(?:\.exe)?\s+.*-(?:enc|encodedcommand)\s+([A-Za-z0-9+/=]{16,})", "mitre_technique": "T1059.001", "severity": "medium", "operator": "regex"},
+    {"id": "R-DL", "name": "Suspicious Web Download", "field": "command_line", "pattern": r"(webrequest|wget|curl|net\.webclient)", "mitre_technique": "T1105", "severity": "medium", "operator": "regex"},
+)
+FURTHER_TECHNIQUES = {"R-ENC": ("T1027.010",)}
+LONGEST_PATTERN, LONGEST_ID = 8000, 120
 SIGMA_SEVERITIES = {"informational": "low", "info": "low", "low": "low", "high": "high", "critical": "critical", "fatal": "critical"}
 
 
@@ -96,9 +104,44 @@ def load_rules(folder: str) -> list[Rule]:
         else:
             import yaml
 
-            content = yaml.safe_load(path.read_text())
+            content = [m for document in yaml.safe_load_all(path.read_text()) if document for m in (document if isinstance(document, list) else [document])]
         found += [sigma_rule(m) if "detection" in m else rule_of(m) for m in (content if isinstance(content, list) else [content])]
-    return found
+    return found or [rule_of(m) for m in DEFAULT_RULES]
+
+
+def with_added(rules: Iterable[Rule], added: Iterable[Rule]) -> list[Rule]:
+    """Rules and an organisation's own; two of one id, whatever the case, are an error."""
+    both = [*rules, *added]
+    ids = [r.id.casefold() for r in both]
+    if repeated := sorted({i for i in ids if ids.count(i) > 1}):
+        raise ValueError(f"rule ids stand twice: {', '.join(repeated)}")
+    return both
+
+
+def authored_rule(mapping: dict) -> Rule:
+    """A rule that a person wrote: its id, pattern, severity and operator are held to narrower limits than those of rule files."""
+    rule_id, pattern = str(mapping.get("id") or "").strip(), str(mapping.get("pattern") or "")
+    severity, operator = str(mapping.get("severity") or "medium").strip().lower(), str(mapping.get("operator") or "regex").strip().lower()
+    if len(rule_id) > LONGEST_ID or not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._:-]*", rule_id):
+        raise ValueError(f"rule id {rule_id!r} isn't made of letters, digits and . _ : -")
+    if not pattern or len(pattern) > LONGEST_PATTERN or severity not in SEVERITIES or operator not in OPERATORS[:5]:
+        raise ValueError(f"rule {rule_id!r}: pattern, severity or operator is outside the limits")
+    return rule_of(mapping | {"id": rule_id, "name": mapping.get("name") or rule_id, "field": mapping.get("field") or "command_line", "severity": severity, "operator": operator})
+
+
+def techniques_of(rule_id: Column, primary: Column) -> Column:
+    """A rule's own technique and those that it shows besides, in order, each once."""
+    further = F.create_map(*[x for r, codes in FURTHER_TECHNIQUES.items() for x in (F.lit(r), F.array(*map(F.lit, codes)))])
+    own = F.filter(F.array(F.upper(F.trim(primary))), lambda t: t.rlike(r"^T\d{4}(\.\d{3})?$"))
+    return F.array_distinct(F.concat(own, F.coalesce(further[rule_id], F.array().cast("array<string>"))))
+
+
+def tree_hash(folder: str) -> str:
+    """SHA-256 over the rule files of a folder by path, with line ends as line feeds."""
+    whole = hashlib.sha256()
+    for path in sorted(p for p in Path(folder).rglob("*") if p.suffix in (".json", ".yml", ".yaml")):
+        whole.update(path.relative_to(folder).as_posix().encode() + b"\0" + path.read_bytes().replace(b"\r\n", b"\n") + b"\0")
+    return whole.hexdigest()
 
 
 def select_rules(rules: Iterable[Rule], include: Iterable[str] = (), exclude: Iterable[str] = ()) -> list[Rule]:

@@ -150,3 +150,66 @@ def ecs_event(record: Column) -> Column:
         first("$.winlog.event_id", "$.event.code").alias("event_id"), F.when(name.isNotNull(), F.concat_ws("\\", domain, name)).alias("user"), first("$.winlog.event_data.CommandLine", "$.process.command_line").alias("command_line"),
         first("$.winlog.event_data.Image", "$.process.executable").alias("image"), first("$.winlog.event_data.ParentImage", "$.process.parent.executable").alias("parent_image"), first("$.winlog.channel").alias("channel"), first("$.winlog.record_id").alias("record_id"),
     )
+
+
+# Event ids of a published attack data set's records by object and action, and its names of fields.
+HOST_EVENT_IDS = {"process|create": "1", "process|terminate": "5", "flow|start": "3", "file|create": "11", "registry|add": "12", "registry|edit": "13", "registry|remove": "12", "thread|remote_create": "8", "module|load": "7", "driver|load": "6"}
+FIELD_NAMES = {"command_line": "CommandLine", "image_path": "Image", "exe": "Image", "parent_image_path": "ParentImage", "pid": "ProcessId", "ppid": "ParentProcessId", "user": "User"}
+
+
+def host_record(record: Column) -> Column:
+    """Flat fields of a host sensor's record (type, data_model of object, action and fields) as JSON text; the first known action gives the event id."""
+    model = F.from_json(F.get_json_object(record, "$.data_model"), "object string, action string, fields map<string,string>")
+    actions = F.when(model["action"].startswith("["), F.from_json(model["action"], "array<string>")).otherwise(F.array(model["action"]))
+    ids = F.create_map(*[F.lit(x) for pair in HOST_EVENT_IDS.items() for x in pair])
+    known = F.filter(F.transform(actions, lambda a: ids[F.concat_ws("|", F.lower(F.trim(model["object"])), F.lower(F.trim(a)))]), lambda i: i.isNotNull())
+    folded = F.transform_keys(F.coalesce(model["fields"], F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
+    named = F.transform_keys(F.map_filter(folded, lambda k, _: k.isin(*[n for n in FIELD_NAMES if n != "exe"])), lambda k, _: F.create_map(*[F.lit(x) for p in FIELD_NAMES.items() for x in p])[k])
+    hashes = F.concat_ws(",", *[F.concat(F.lit(f"{label}="), folded[name]) for name, label in (("md5_hash", "MD5"), ("sha1_hash", "SHA1"), ("sha256_hash", "SHA256"))])
+    time = F.coalesce(F.nullif(folded["utc_time"], F.lit("")), F.get_json_object(record, "$['@timestamp']"), F.lit(""))
+    return F.struct(
+        time.alias("timestamp"), F.coalesce(F.nullif(F.get_json_object(record, "$.host"), F.lit("")), F.lit("unknown")).alias("host"), F.lit("Microsoft-Windows-Sysmon").alias("source"),
+        F.coalesce(F.get(known, F.lit(0)), F.lit("")).alias("event_id"), F.coalesce(folded["user"], F.lit("")).alias("user"), F.nullif(folded["command_line"], F.lit("")).alias("command_line"),
+        named.alias("event_data"), F.nullif(hashes, F.lit("")).alias("hashes"),
+    )
+
+
+_NODES = "array<struct<id:string,nodetype:string,events:array<string>,techniques:array<struct<technique_id:string>>,host:string,time:string,happened_after:string,happened_before:string>>"
+
+
+def ground_truth(records: DataFrame) -> DataFrame:
+    """(record, step, technique, host, time, happened_after, happened_before) of the steps in records (record, value) of nested nodes; events are resolved by id within the record."""
+    nodes = records.select("record", F.from_json(F.get_json_object("value", "$.bsf"), _NODES).alias("n"))
+    steps = nodes.select("record", "n", F.explode(F.filter("n", lambda x: x["nodetype"] == "step")).alias("s"))
+    events = F.filter("n", lambda x: (x["nodetype"] == "event") & F.array_contains(F.col("s.events"), x["id"]))
+    return steps.select("record", F.col("s.id").alias("step"), F.explode_outer(F.transform("s.techniques", lambda t: t["technique_id"])).alias("technique"), events.alias("e")).select("record", "step", "technique", F.explode_outer("e").alias("e")).select("record", "step", "technique", "e.host", "e.time", "e.happened_after", "e.happened_before")
+
+
+# Demonstrations: (id, name, tactics, expected techniques, steps of (host, event id, user, command)).
+DEMOS = (
+    ("encoded_download", "Encoded download", ("Execution", "Command and Control"), ("T1059.001", "T1105"), (("WS-01", "4688", "LAB\\ann", "powershell -enc SUVYKCR4KQ=="), ("WS-01", "4688", "LAB\\ann", "curl http://example.com/a"))),
+    ("remote_service", "Remote service", ("Lateral Movement",), ("T1569.002",), (("WS-01", "4688", "LAB\\bob", "psexec.exe \\\\WS-02 cmd"), ("WS-02", "4688", "LAB\\bob", "C:\\Windows\\PSEXESVC.exe"))),
+    ("plain_work", "Plain work", (), (), (("WS-03", "4688", "LAB\\eve", "notepad.exe"),)),
+)
+
+
+def demo_events(spark: SparkSession, *ids: str) -> DataFrame:
+    """JSON lines of demonstrations, all or by id, with what they are to show in every record."""
+    rows = [(i, name, list(tactics), list(techniques), [list(s) for s in steps]) for i, name, tactics, techniques, steps in DEMOS if not ids or i in ids]
+    demos = spark.createDataFrame(rows, "id string, name string, tactics array<string>, techniques array<string>, steps array<array<string>>")
+    each = demos.select("*", F.posexplode("steps").alias("k", "s"))
+    time = F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.col("k") * 5), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    record = F.struct(
+        time.alias("timestamp"), F.col("s")[0].alias("host"), F.lit("ProcessCreate").alias("source"), F.col("s")[1].alias("event_id"), F.col("s")[2].alias("user"), F.col("s")[3].alias("command_line"),
+        F.col("id").alias("sample_scenario_id"), F.col("name").alias("sample_scenario_name"), F.col("tactics").alias("sample_primary_tactics"), F.col("techniques").alias("sample_expected_techniques"), (F.col("k") + 1).alias("sample_event_index"),
+    )
+    return each.select(F.monotonically_increasing_id().alias("ord"), F.to_json(record).alias("value"))
+
+
+def demo_summary(events: DataFrame, findings: DataFrame) -> DataFrame:
+    """By embedded demonstration its events, hosts, findings, and expected and seen techniques."""
+    at = lambda name: F.get_json_object("raw", f"$.{name}")
+    own = events.select("ord", "host", at("sample_scenario_id").alias("id"), F.from_json(at("sample_expected_techniques"), "array<string>").alias("expected")).where("id IS NOT NULL")
+    told = own.groupBy("id").agg(F.count("*").alias("n_events"), F.countDistinct("host").alias("n_hosts"), F.any_value("expected").alias("expected"))
+    seen = findings.select("ord", "technique").join(own.select("ord", "id"), "ord").groupBy("id").agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_set("technique")).alias("techniques"))
+    return told.join(seen, "id", "left").na.fill(0, ["n_findings"])
