@@ -10,7 +10,8 @@ chained the same way, two levels up, where one row stands for millions of ids.
 
 Defined cases: null text reads as empty, whose sketch is empty; two empty sketches have likeness 1, an
 empty and another one 0; rows without an id come first in the order, rows with the same id follow one
-another by text; a single document is its own next; an empty table gives an empty result.
+another by text, equal texts in any order; a single document is its own next; equal texts have equal
+fingerprints; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

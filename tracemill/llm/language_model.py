@@ -86,11 +86,9 @@ class _Block:
         self.uni_keys = words[order]
         self.uni_of = np.empty(len(words), np.int64)
         self.uni_of[order] = np.arange(len(words))
-        pair = self.before.astype(np.uint64) << np.uint64(32) | tokens.astype(np.uint64)
-        distinct, inverse = np.unique(pair, return_inverse=True)
-        key = mix(mix(words[(distinct >> np.uint64(32)).astype(np.int64)]) * np.uint64(3) + words[(distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-        self.bi_keys, place = np.unique(key, return_inverse=True)
-        self.bi_at = place[inverse.ravel()] if len(tokens) else np.zeros(0, np.int64)
+        mixed = mix(words) * np.uint64(3)
+        self.bi_keys, place = np.unique(mix(mixed[self.before] + words[tokens]), return_inverse=True)
+        self.bi_at = place.ravel()
         self.uni_at = self.uni_of[tokens] if len(tokens) else np.zeros(0, np.int64)
 
         self.first = np.zeros(len(tokens), bool)  # tokens that begin a text
@@ -104,11 +102,9 @@ class _Block:
         """(tokens read in a bigram state, distinct hashes of the trigrams that they end, which of these each is)."""
         state = np.roll(self.bi_at, 1)  # the bigram before each token, where its text has one
         reached = np.flatnonzero(~self.first & (bigram_totals[state] >= LEAST_STATE)) if len(state) else state
-        pair = state[reached].astype(np.uint64) << np.uint64(32) | self.uni_at[reached].astype(np.uint64)
-        distinct, inverse = np.unique(pair, return_inverse=True)
-        key = mix(mix(self.bi_keys[(distinct >> np.uint64(32)).astype(np.int64)]) * np.uint64(5) + self.uni_keys[(distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-        keys, place = np.unique(key, return_inverse=True)
-        return reached, keys, place[inverse.ravel()] if len(reached) else reached
+        mixed = mix(self.bi_keys) * np.uint64(5)
+        keys, place = np.unique(mix(mixed[state[reached]] + self.uni_keys[self.uni_at[reached]]), return_inverse=True)
+        return reached, keys, place.ravel()
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,9 @@ known ones break a sequence; lines without letters and digits and numbers of lis
 The work is local to a row: one scan, no shuffle, whatever the skew.
 
 Defined cases: null and empty texts have no licence and give no row, like texts without a known
-sentence; repeated rows give repeated results; other columns are ignored.
+sentence; repeated rows, with or without an id, give repeated results; where two sentences or rules begin alike
+the longer sentence and the earlier rule win; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ link between components is lost, and texts that differ in their own words don't
 deviations below the threshold.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; repeated rows and
-equal sets are linked; rows without an id get no component and are kept; an empty table gives an empty
-result; other columns are ignored.
+equal sets are linked; of a component the least id stays, and all rows that repeat it; rows without an id get
+no component and are kept; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
