@@ -209,7 +209,11 @@ class Prepared:
                 names.setdefault(condition.pattern)
         self.place = {n: k for k, n in enumerate(names)}
         shown = [field(n).alias(f"_f{k}") for n, k in self.place.items()]
-        self.events = events.select(*COLUMNS, *shown).select("*", *[F.lower(f"_f{k}").alias(f"_l{k}") for k in self.place.values()], decoded_texts(self.text("command_line")).alias("_decoded"))
+        self.events = events.select(*COLUMNS, *shown).select("*", *[F.lower(f"_f{k}").alias(f"_l{k}") for k in self.place.values()], self._others().alias("_decoded"))
+
+    def _others(self) -> Column:
+        """Texts besides the command line that every rule looks at: decoded ones, then those of the record; most events have none."""
+        return F.concat(decoded_texts(self.text("command_line")), F.filter(F.array(*[self.text(n) for n in TEXTS[1:]]), lambda t: t != ""))
 
     def text(self, name: str) -> Column:
         return F.col(f"_f{self.place[name]}")
@@ -230,7 +234,6 @@ class Prepared:
                 hits.append(one("command_line"))
             hidden = F.filter(F.transform("_decoded", lambda t: struct(matched(rule.operator, t, rule.pattern), t)), lambda h: h["value"].isNotNull())
             hits.append(F.when(F.size("_decoded") > 0, F.get(hidden, F.lit(0))))
-            hits += [one(n) for n in TEXTS[1:] if n not in own]
         hit = F.coalesce(*hits)
         holds = [self.matched(c.operator, c.field, c.pattern).isNotNull() & (self.text(c.field) != "") for c in rule.all_of]
         about = [F.lit(v).cast("string").alias(n) for n, v in (("rule_id", rule.id), ("rule_name", rule.name), ("severity", rule.severity), ("technique", rule.technique))]
