@@ -6,7 +6,10 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,19 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of ``limit`` bytes of a text or binary column, or of one row that has more."""
+    for batch in batches:
+        values = batch.column(column)
+        wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+        at = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1)
+        begin = 0
+        while begin < len(batch):
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, "right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
