@@ -26,7 +26,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import in_chunks, shared_folder, store
 
 FRAME, BUNDLE, LEVEL, LEAST, HOT = 1 << 20, 256 << 20, 3, 1000, 1000
+#: A task reads so many bytes of records, by runs of so many frames of a bundle.
+TASK, FRAMES = 32 << 20, 16
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the seekable Zstandard format: magic numbers of a skippable frame and of its footer.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -114,12 +116,6 @@ def record_id(page_id: object) -> str:
     return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
-def page_of(identifier: str | None) -> str | None:
-    """The page id, as text, in a record identifier."""
-    found = re.fullmatch(r"<urn:page:(.*)>", identifier or "")
-    return unquote(found[1]) if found else None
-
-
 def page_record(page_id: object, uri: str | None, payload: bytes, sha1: str, revisit_of: str | None, date: str = DATE) -> bytes:
     """A response with an HTTP block, or a revisit without payload of the record that ``revisit_of`` identifies."""
     digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
@@ -238,7 +234,10 @@ def read(archive: Archive, index: DataFrame | None = None) -> DataFrame:
     """
     rows = archive.index if index is None else index
     places = F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places")
-    frames = rows.groupBy("bundle", "frame").agg(places).sortWithinPartitions("bundle", "frame")
+    # The index is small beside what it points to, so the tasks follow from the bytes of the records.
+    tasks = -(-(rows.agg(F.sum("length")).first()[0] or 1) // TASK)
+    dealt = rows.withColumn("part", F.floor(F.col("frame") / FRAMES)).repartition(int(tasks), "bundle", "part")
+    frames = dealt.groupBy("bundle", "part", "frame").agg(places).sortWithinPartitions("bundle", "frame").drop("part")
     page = lambda c: F.when(F.col(c).startswith("<urn:page:"), F.url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1))).cast(archive.id_type)
     whole = F.col("payload").isNull() | (F.sha1("payload") == F.col("payload_digest")) & (F.octet_length("payload") == F.col("payload_bytes"))
     digest = F.when(whole, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload of "), "record_id")))
@@ -250,7 +249,10 @@ def read(archive: Archive, index: DataFrame | None = None) -> DataFrame:
 def lookup(archive: Archive, pages: DataFrame) -> DataFrame:
     """The records of the ids in ``pages`` (page_id), by the index: only frames that hold one of them are read."""
     text = F.col("page_id").cast("string")
-    identifier: Column = F.when(text.isNull(), "<urn:page>").otherwise(F.concat(F.lit("<urn:page:"), F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit(">")))
+    encoded = F.url_encode(text)
+    for other, own in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):  # as record_id has them
+        encoded = F.replace(encoded, F.lit(other), F.lit(own))
+    identifier: Column = F.when(text.isNull(), "<urn:page>").otherwise(F.concat(F.lit("<urn:page:"), encoded, F.lit(">")))
     wanted = pages.select(identifier.alias("record_id")).distinct()
     return read(archive, archive.index.join(wanted, "record_id", "left_semi"))
 
