@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SECOND = 1_000_000
+from .segments import SECOND, Fold, Line
 
 
 def fits(patterns: Sequence[str]) -> Column:
@@ -65,21 +65,23 @@ def severity_weight(severity: Column) -> Column:
     return F.when(low.isin("critical", "high"), 0.2).when(low == "medium", 0.1).otherwise(0.05)
 
 
-def as_of_parent(created: DataFrame, key: Sequence[str], child: str, parent: str, name: str, seconds: int = 300) -> DataFrame:
+def as_of_parent(created: DataFrame, key: Sequence[str], child: str, parent: str, name: str, seconds: int = 300, least: int | None = None) -> DataFrame:
     """Each row with the name of the latest earlier row (by ``ord``) whose ``child`` id is its ``parent`` id.
 
-    The match counts only at an age from 0 to ``seconds``. One window over both roles, keyed by id: rows
-    stream through a running last value, so a busy id needs no memory of its size.
+    The match counts only at an age from 0 to ``seconds``. Both roles of a row are one line by key and id,
+    with a running last value; a busy id is cut in blocks (``segments``). Rows without a parent id match nothing.
     """
-    own = created.select(*created.columns, F.lit(1).alias("role"), F.col(parent).alias("pid"))
-    made = created.where(F.col(child).isNotNull() & F.col("ts_us").isNotNull() & (F.coalesce(name, F.lit("")) != ""))
-    made = made.select(*created.columns, F.lit(2).alias("role"), F.col(child).alias("pid"))
-    earlier = Window.partitionBy(*[F.lower(k) for k in key], "pid").orderBy("ord", "role").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("role") == 2, F.struct("ts_us", F.col(name).alias("name"))), ignorenulls=True).over(earlier)
-    joined = own.unionByName(made).withColumn("seen", seen).where("role = 1")
+    lower = [F.lower(k).alias(f"_key{i}") for i, k in enumerate(key)]
+    none = F.lit(None).cast(f"struct<ts_us:bigint,name:{dict(created.dtypes)[name]}>")
+    own = created.where(F.col(parent).isNotNull()).select(*created.columns, *lower, F.lit(1).alias("role"), F.col(parent).alias("pid"), none.alias("made"))
+    maker = created.where(F.col(child).isNotNull() & F.col("ts_us").isNotNull() & (F.coalesce(name, F.lit("")) != ""))
+    empty = [F.lit(None).cast(t).alias(c) for c, t in created.dtypes if c not in ("ord", "ts_us")]
+    made = maker.select("ord", "ts_us", *empty, *lower, F.lit(2).alias("role"), F.col(child).alias("pid"), F.struct("ts_us", F.col(name).alias("name")).alias("made"))
+    line = Line(own.unionByName(made), [f"_key{i}" for i in range(len(key))] + ["pid"], ["ord", "role"], least).fold(seen=Fold("last", F.col("made"), own=False))
     age = F.col("ts_us") - F.col("seen.ts_us")
-    ok = age.between(0, seconds * SECOND) & F.col("pid").isNotNull()
-    return joined.select(*created.columns, F.when(ok, F.col("seen.name")).alias("parent_name"), F.when(ok, age).alias("parent_age_us"))
+    ok = age.between(0, seconds * SECOND)
+    joined = line.rows().where("role = 1").select(*created.columns, F.when(ok, F.col("seen.name")).alias("parent_name"), F.when(ok, age).alias("parent_age_us"))
+    return joined.unionByName(created.where(F.col(parent).isNull()), allowMissingColumns=True)
 
 
 def first_within(left: DataFrame, right: DataFrame, keys: Sequence[str], before: int, after: int, alias: str) -> DataFrame:

@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the cluster's ``spark.checkpoint.dir``."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or f"/tmp/tracemill-{context.applicationId}")
-    return df.checkpoint()
+    """``df`` with its lineage cut by a table in the cluster's ``spark.checkpoint.dir``."""
+    return tables.store(df, "cut")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,13 +26,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of all ``nodes`` (node), component being the least node that ``edges`` (a, b) reach."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of all ``nodes`` (node), component being the least node that ``edges`` (a, b) reach.
+
+    Rounds go on until nothing changes, some log n of them; the tables of earlier rounds are deleted.
+    """
     now, mark = cut(edges.where("a <> b").distinct()), None
-    for _ in range(max_rounds):
-        now = cut(_star(_star(now, True), False))
+    while True:
+        before, now = now, cut(_star(_star(now, True), False))
+        tables.discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             return nodes.distinct().join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
         mark = seen
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -6,13 +6,14 @@ digest of its members, so a chain of any length is never gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
 
 from . import sessions
 from .correlation import SECOND, chain_confidence, severity_weight
+from .segments import Fold, Line
 
 # Event ids of logons, and their order at the same instant.
 LOGON, INITIATED_LOGOFF, LOGOFF, FAILED = "4624", "4647", "4634", "4625"
@@ -33,26 +34,26 @@ def summary(members: DataFrame, *keys: str) -> DataFrame:
     return members.groupBy("kind", "chain_id", *keys).agg(F.count("*").alias("n_events"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), digest.alias("members"))
 
 
-def lifecycles(events: DataFrame) -> DataFrame:
+def lifecycles(events: DataFrame, least: int | None = None) -> DataFrame:
     """Members of session chains from events with ``session``: cut at each logon, closed by a logoff, of two events at least.
 
     Repeated events (the same ``key``) count once. Adds host_key, reused (the host's id serves several
-    lifecycles) and the chain's id, which for a reused one carries a token of its first event's key.
+    lifecycles) and the chain's id, which for a reused one carries a token of its first event's key. All follows
+    from running values along a session, so one that has a large part of all events is cut in blocks.
     """
     own = events.where("session IS NOT NULL AND ts_us IS NOT NULL").withColumn("host_key", F.lower(F.trim("host"))).where("host_key <> ''")
     first = own.groupBy("host_key", "session", "key").agg(F.min(F.struct("ord", "ts_us", "event_id", "host", "user")).alias("e")).select("host_key", "session", "key", "e.*")
-    order = F.when(F.col("event_id") == LOGON, 0).when(F.col("event_id") == LOGOFF, 2).otherwise(1)
-    line = Window.partitionBy("host_key", "session").orderBy("ts_us", order, "key")
-    numbered = first.withColumn("part", F.sum((F.col("event_id") == LOGON).cast("long")).over(line)).where("part > 0")
-    inner = Window.partitionBy("host_key", "session", "part").orderBy("ts_us", order, "key")
-    before = F.coalesce(F.max((F.col("event_id") == LOGOFF).cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = numbered.withColumn("closed", before).where("closed = 0")
-    sized = kept.withColumn("start_key", F.first("key").over(inner)).withColumn("n", F.count("*").over(Window.partitionBy("host_key", "session", "part"))).where("n > 1")
-    logons = first.groupBy("host_key", "session").agg(F.sum((F.col("event_id") == LOGON).cast("long")).alias("logons"))
-    joined = sized.join(logons, ["host_key", "session"])
+    at = F.coalesce("event_id", F.lit(""))
+    logon, mark = at == LOGON, F.when(at == LOGOFF, False).when(at == LOGON, True)
+    ranked = first.withColumn("rank", F.when(logon, 0).when(at == LOGOFF, 2).otherwise(1))
+    line = Line(ranked, ["host_key", "session"], ["ts_us", "rank", "key"], least).fold(
+        open=Fold("last", mark, own=False), start_key=Fold("last", F.when(logon, F.col("key"))), then=Fold("first", at, own=False), logons=Fold("total", logon.cast("long"))
+    )
+    # After a logon the next event, unless it is one as well, is of the same lifecycle.
+    kept = line.rows().where((logon & (F.col("then") != LOGON)) | (~logon & F.col("open")))
     base = F.concat_ws("_", F.lit("session"), "host_key", "session")
     named = F.when(F.col("logons") > 1, F.concat_ws("_", base, F.substring(F.sha2("start_key", 256), 1, 10))).otherwise(base)
-    return joined.select(F.lit("session").alias("kind"), named.alias("chain_id"), (F.col("logons") > 1).alias("reused"), "host_key", "session", "ord", "ts_us")
+    return kept.select(F.lit("session").alias("kind"), named.alias("chain_id"), (F.col("logons") > 1).alias("reused"), "host_key", "session", "ord", "ts_us")
 
 
 def session_chains(events: DataFrame) -> DataFrame:

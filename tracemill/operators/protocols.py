@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
 
-from .correlation import SECOND
+from . import tables
+from .segments import SECOND, Fold, Line
 
 DAY = 86_400 * SECOND
 
@@ -71,25 +72,21 @@ def in_windows(points: DataFrame, windows: DataFrame, key: str, widest_us: int)
     return points.withColumn("slot", slot("ts_us")).join(spread, [key, "slot"]).where("ts_us BETWEEN start_us AND end_us").drop("slot")
 
 
-def window_of(points: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+def window_of(points: DataFrame, windows: DataFrame, key: str, least: int | None = None) -> DataFrame:
     """Points with the window of their key that begins last before them, null if it has ended: for windows that don't overlap."""
-    w = windows.select(key, F.col("start_us").alias("ts_us"), F.lit(None).cast("long").alias("ord"), F.struct("window", "end_us").alias("w"))
-    p = points.select(key, "ts_us", "ord", F.lit(None).cast("struct<window:bigint,end_us:bigint>").alias("w"))
-    line = Window.partitionBy(key).orderBy("ts_us", F.col("ord").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    held = w.unionByName(p).withColumn("last", F.last("w", ignorenulls=True).over(line)).where("ord IS NOT NULL")
-    return held.select(key, "ord", "ts_us", F.when(F.col("ts_us") < F.col("last.end_us"), F.col("last.window")).alias("window"))
+    w = windows.select(key, F.col("start_us").alias("ts_us"), F.lit(None).cast("long").alias("ord"), F.lit(0).alias("role"), F.struct("window", "end_us").alias("w"))
+    p = points.select(key, "ts_us", "ord", F.lit(1).alias("role"), F.lit(None).cast("struct<window:bigint,end_us:bigint>").alias("w"))
+    line = Line(w.unionByName(p), [key], ["ts_us", "role", "ord"], least).fold(last=Fold("last", F.col("w")))
+    return line.rows().where("role = 1").select(key, "ord", "ts_us", F.when(F.col("ts_us") < F.col("last.end_us"), F.col("last.window")).alias("window"))
 
 
-def nearest_window(points: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+def nearest_window(points: DataFrame, windows: DataFrame, key: str, least: int | None = None) -> DataFrame:
     """Points with the distance to the nearest window of their key, 0 inside; null where it has none. Windows of a key are disjoint."""
-    line = Window.partitionBy(key).orderBy("ts_us", "role", "ord")
     w = windows.select(key, F.col("start_us").alias("ts_us"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("ord"), "start_us", "end_us")
     p = points.select(key, "ts_us", F.lit(1).alias("role"), "ord", F.lit(None).cast("long").alias("start_us"), F.lit(None).cast("long").alias("end_us"))
-    both = w.unionByName(p)
-    before = F.max("end_us").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("start_us", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
-    seen = both.withColumn("b", before).withColumn("a", after).where("role = 1")
-    return seen.select(key, "ord", F.least(F.greatest(F.lit(0), F.col("ts_us") - F.col("b")), F.col("a") - F.col("ts_us")).alias("distance_us"))
+    line = Line(w.unionByName(p), [key], ["ts_us", "role", "ord"], least).fold(b=Fold("max", F.col("end_us")), a=Fold("first", F.col("start_us")))
+    since = F.when(F.col("b").isNotNull(), F.greatest(F.lit(0), F.col("ts_us") - F.col("b")))
+    return line.rows().where("role = 1").select(key, "ord", F.least(since, F.col("a") - F.col("ts_us")).alias("distance_us"))
 
 
 def alignment(inside: DataFrame, windows: DataFrame, key: str) -> DataFrame:
@@ -187,13 +184,25 @@ def from_agent(rows: DataFrame, column: str = "agent", agent: str = "winlogbeat"
     return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(f"a row isn't from {agent}")).cast("boolean")))
 
 
-def current_technique(techniques: DataFrame, revoked: DataFrame, rounds: int = 10) -> DataFrame:
-    """(technique, current) by following revoked (technique, by) to the end. Small tables of metadata."""
-    now = techniques.select("technique", F.col("technique").alias("current"))
-    step = revoked.select(F.col("technique").alias("current"), F.col("by").alias("next"))
-    for _ in range(rounds):
-        now = now.join(step, "current", "left").select("technique", F.coalesce("next", "current").alias("current"))
-    return now
+def current_technique(techniques: DataFrame, revoked: DataFrame) -> DataFrame:
+    """(technique, current) by following revoked (technique, by) to the end; null on a trail that runs in a circle.
+
+    Each round doubles the length of all trails at once, so that n rounds follow 2 ** n steps.
+    """
+    step = revoked.select(F.col("technique").alias("a"), F.col("by").alias("b")).where("a <> b").distinct()
+    ends = step.select(F.col("b").alias("a")).join(step, "a", "left_anti").select(F.col("a"), F.col("a").alias("b")).distinct()
+    trail, rounds = step.unionAll(ends), 0
+    while True:
+        then = trail.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        trail = tables.store(trail.join(then, "b").select("a", F.col("c").alias("b")).distinct(), "trails")
+        open_now = trail.join(ends.select(F.col("a").alias("b")), "b", "left_anti").count()
+        rounds += 1
+        if open_now == 0 or 1 << rounds > step.count():
+            break
+    done = trail.join(ends.select(F.col("a").alias("b")), "b", "left_semi")
+    begun = step.select("a").distinct().withColumn("_revoked", F.lit(True))
+    asked = techniques.select(F.col("technique").alias("a")).join(begun, "a", "left").join(done, "a", "left")
+    return asked.select(F.col("a").alias("technique"), F.when(F.col("_revoked"), F.col("b")).otherwise(F.col("a")).alias("current"))
 
 
 def dataset_outcomes(expected: DataFrame, observed: DataFrame, by: str = "dataset") -> DataFrame:

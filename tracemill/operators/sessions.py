@@ -1,52 +1,31 @@
-"""Three cuts of a timeline: by gap, from an anchor, and by opening and closing events."""
+"""Three cuts of a timeline: by gap, from an anchor, and by opening and closing events. A busy key is cut in blocks, see ``segments``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SECOND = 1_000_000
+from . import segments
+from .segments import SECOND, Fold, Line
 
 
-def by_gap(events: DataFrame, key: str, seconds: int) -> DataFrame:
+def by_gap(events: DataFrame, key: str, seconds: int, least: int | None = None) -> DataFrame:
     """Events with the number of their session, from 1: a new one starts after a gap of more than ``seconds``."""
-    line = Window.partitionBy(key).orderBy("ts_us", "ord")
-    starts = (F.col("ts_us") - F.lag("ts_us").over(line) > seconds * SECOND) | F.lag("ts_us").over(line).isNull()
-    return events.withColumn("_starts", starts.cast("long")).withColumn("session", F.sum("_starts").over(line)).drop("_starts")
+    line = Line(events, [key], ["ts_us", "ord"], least).fold(_before=Fold("last", F.col("ts_us"), own=False))
+    starts = F.col("_before").isNull() | (F.col("ts_us") - F.col("_before") > seconds * SECOND)
+    return line.fold(session=Fold("sum", starts.cast("long"))).rows().drop("_before")
 
 
-def from_anchor(events: DataFrame, key: str, seconds: int) -> DataFrame:
+def from_anchor(events: DataFrame, key: str, seconds: int, least: int | None = None) -> DataFrame:
     """Events (key, ord, ts_us) with the instant of their segment's first event, which reaches ``seconds`` from it.
 
-    A greedy cut that no window frame expresses. Each partition, sorted by key and time, is read as a
-    stream that carries only the current key and anchor: memory doesn't grow with the length of a key.
+    A greedy cut that no window frame expresses; events without an instant have no segment.
     """
-    sorted_rows = events.where("ts_us IS NOT NULL").select(key, "ord", "ts_us").repartition(key).sortWithinPartitions(key, "ts_us", "ord")
-    reach = seconds * SECOND
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, anchor = None, 0
-        for batch in batches:
-            keys, times = batch.column(0).to_pylist(), batch.column(2).to_numpy()
-            anchors = np.empty(len(times), dtype=np.int64)
-            for i, (k, t) in enumerate(zip(keys, times.tolist())):
-                if i == 0 and held is None or (k,) != held or t - anchor > reach:
-                    held, anchor = (k,), t
-                anchors[i] = anchor
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchors)], names=[key, "ord", "ts_us", "anchor_us"])
-
-    kind = dict(events.dtypes)[key]
-    return sorted_rows.mapInArrow(cut, f"`{key}` {kind}, ord bigint, ts_us bigint, anchor_us bigint")
+    return segments.anchored(events.where("ts_us IS NOT NULL"), key, seconds, least)
 
 
-def by_lifecycle(events: DataFrame, key: str, opens, closes) -> DataFrame:
+def by_lifecycle(events: DataFrame, key: str, opens: Column, closes: Column, least: int | None = None) -> DataFrame:
     """Events from an opening one to the first closing one, with the session's number; others belong to none."""
-    line = Window.partitionBy(key).orderBy("ts_us", "ord")
-    numbered = events.withColumn("session", F.sum(F.when(opens, 1).otherwise(0)).over(line).cast("long")).where("session > 0")
-    inner = Window.partitionBy(key, "session").orderBy("ts_us", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    closed = F.coalesce(F.max(F.when(closes, 1)).over(inner), F.lit(0))
-    return numbered.withColumn("_closed", closed).where("_closed = 0").drop("_closed")
+    marked = events.withColumn("_opens", F.coalesce(opens, F.lit(False))).withColumn("_mark", F.when(closes, False).when(F.col("_opens"), True))
+    line = Line(marked, [key], ["ts_us", "ord"], least).fold(session=Fold("sum", F.col("_opens").cast("long")), _open=Fold("last", F.col("_mark"), own=False))
+    return line.rows().where(F.col("_opens") | ((F.col("session") > 0) & F.col("_open"))).drop("_opens", "_mark", "_open")
