@@ -1,18 +1,22 @@
 """A store of results: keyed, repeatable writes of events, findings, chains and scenarios, and queries over them.
 
-Tables are Parquet folders that only grow by rows whose key isn't there yet, or are rewritten with the
-latest row of each key. Writing the same frames again changes nothing.
+Events and findings only grow, by rows whose key isn't there yet, and are committed together batch by batch
+(``ledger``); chains and scenarios are rewritten with the latest row of each key. Writing the same frames
+again changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
 
+from . import ledger, rules, tables
+
+FINDING_KEY = ("event_key", "rule_id", "matched_value")
 EVENT_KEY = ("timestamp", "host", "source", "event_id", "user", "command_line")
 
 
@@ -40,18 +44,39 @@ def latest(known: DataFrame | None, rows: DataFrame, keys: Sequence[str]) -> Dat
     return single if known is None else known.join(single.select(*keys), list(keys), "left_anti").unionByName(single)
 
 
+def append(events: DataFrame, folder: str, stream: str, batch: int, detection: Iterable[rules.Rule] = (), offsets: str | None = None) -> bool:
+    """Commit the events whose key isn't stored, and the findings of rules in them, as one batch; False if it was committed before."""
+    spark = events.sparkSession
+    book = ledger.Ledger(spark, folder)
+    if book.has(stream, batch):
+        return False
+    rows = tables.store(keyed(events), "batch")
+    new = tables.store(fresh(rows, book.known("events", rows.select("event_key", "ts_us")), ["event_key"]), "fresh")
+    parts = {"events": new}
+    if detection := list(detection):
+        parts["findings"] = fresh(rules.detect(new, detection).join(new.select("ord", "event_key"), "ord"), None, FINDING_KEY)
+    done = book.commit(stream, batch, parts, offsets)
+    tables.discard(rows, new)
+    return done
+
+
+def _next(book: ledger.Ledger, stream: str) -> int:
+    return 1 + max((e["batch"] for e in book.entries() if e["stream"] == stream), default=-1)
+
+
 def store_events(events: DataFrame, folder: str) -> None:
     """Appends events whose key isn't stored."""
-    rows = keyed(events)
-    fresh(rows, _read(events.sparkSession, f"{folder}/events"), ["event_key"]).write.mode("append").parquet(f"{folder}/events")
+    append(events, folder, "events", _next(ledger.Ledger(events.sparkSession, folder), "events"))
 
 
 def store_findings(findings: DataFrame, folder: str) -> None:
-    """Appends findings whose event is stored and that aren't there."""
-    rows = keyed(findings)
-    events = findings.sparkSession.read.parquet(f"{folder}/events").select("event_key")
-    bound = rows.join(events, "event_key", "left_semi")
-    fresh(bound, _read(findings.sparkSession, f"{folder}/findings"), ["event_key", "rule_id", "matched_value"]).write.mode("append").parquet(f"{folder}/findings")
+    """Appends findings whose event is stored and that aren't there; only commits that may hold their events are read."""
+    book = ledger.Ledger(findings.sparkSession, folder)
+    rows = tables.store(keyed(findings), "batch")
+    events, known = book.known("events", rows.select("event_key", "ts_us")), book.read("findings")
+    bound = rows.where("false") if events is None else rows.join(events, "event_key", "left_semi")
+    book.commit("findings", _next(book, "findings"), {"findings": fresh(bound, known, FINDING_KEY)})
+    tables.discard(rows)
 
 
 def store_replaced(rows: DataFrame, keys: Sequence[str], folder: str, name: str, generation: str) -> None:

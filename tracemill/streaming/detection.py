@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracemill.operators import rules, store
+from tracemill.operators import ledger, rules, store
 from tracemill.operators.logons import LOGOFF, LOGON
 from tracemill.sources import events as sources
 
@@ -111,6 +112,21 @@ def sessions(events: DataFrame, late: str = "10 minutes", idle: int = 86_400) ->
     return named.groupBy("host", "session").applyInPandasWithState(follow, _SESSION, "start_us long, end_us long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def store_stream(events: DataFrame, folder: str, checkpoint: str):
-    """A query that merges each micro-batch into the store; a batch that is repeated after a failure adds nothing."""
-    return events.writeStream.foreachBatch(lambda batch, _: store.store_events(batch, folder)).option("checkpointLocation", checkpoint)
+def store_stream(events: DataFrame, folder: str, checkpoint: str, detection: Iterable[rules.Rule] = ()):
+    """A query that commits each micro-batch, events and findings together, into the store.
+
+    What an interrupted batch left is deleted first; a batch that was committed but not yet marked in the
+    checkpoint adds nothing. The ledger names the stream by the checkpoint's id, so that a new checkpoint, whose
+    batches are numbered anew, is another stream, and keeps where the source stood.
+    """
+    spark, detection = events.sparkSession, list(detection)
+    ledger.Ledger(spark, folder).recover()
+
+    def written(name: str) -> str | None:
+        found = [r.value for r in spark.read.text(f"{checkpoint}/{name}").collect()]
+        return "\n".join(found)
+
+    def commit(batch: DataFrame, number: int) -> None:
+        store.append(batch, folder, json.loads(written("metadata"))["id"], number, detection, written(f"offsets/{number}"))
+
+    return events.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
