@@ -132,3 +132,23 @@ def test_full_texts(spark, file, name):
     if not os.path.exists(path):
         pytest.skip("no full texts on this machine")
     assert name in found_in(spark, [open(path).read()])[0].split(",")
+
+
+@pytest.mark.parametrize("copies", [2, 3, 7])
+def test_a_licence_that_is_repeated(spark, copies):
+    cases = [(name, between.join([text] * copies)) for name, texts in CASES.items() for text in texts for between in ("\n", "\n\n", "\n\nSome words.\n\n")]
+    found = found_in(spark, [text for _, text in cases])
+    assert [(w, f) for (w, _), f in zip(cases, found) if w != f] == []
+
+
+def test_two_licences_side_by_side(spark):
+    pairs = [(a, b) for a in ("MIT", "BSD-3-Clause", "GPL-2.0", "Unlicense") for b in ("MPL-2.0", "BSD-2-Clause", "CC0-1.0")]
+    found = found_in(spark, [CASES[a][0] + "\n" + CASES[b][0] + "\n" + CASES[a][0] for a, b in pairs])
+    assert [set(f.split(",")) for f in found] == [{a, b} for a, b in pairs]
+
+
+def test_a_match_is_no_bridge(spark):
+    """b is taken by the first rule; what stood on both sides of it isn't a sequence."""
+    docs = spark.createDataFrame([(0, "one\ntwo\nthree"), (1, "one\nthree")], "doc_id long, text string")
+    found = licenses.recognise(docs, {"a": "one", "b": "two", "c": "three"}, (("B", ("b",)), ("AC", ("a", "c"))))
+    assert sorted((r.doc_id, r.licenses) for r in found.collect()) == [(0, "B"), (1, "AC")]

@@ -181,7 +181,8 @@ def _map(pairs: dict[str, str]) -> Column:
 
 
 def _written(ids) -> str:
-    return "|" + "|".join(ids) + "|"
+    """Each identifier between bars of its own, so that matches side by side share none."""
+    return "|" + "||".join(ids) + "|"
 
 
 def _longest_of(sentences) -> str:
@@ -239,12 +240,12 @@ def recognise(docs: DataFrame, sentences: dict[str, str] | None = None, rules=WH
     named = cut.select("doc_id", F.transform("sentences", identify).alias("ids"))
     known = named.where(F.exists("ids", lambda i: i != _BREAK))
     rule_list = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_written(ids)).alias("ids")) for name, ids in rules])
-    start = F.struct(F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")).alias("rest"), F.array().cast("array<string>").alias("names"))
+    start = F.struct(F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|")).alias("rest"), F.array().cast("array<string>").alias("names"))
 
     def apply_rule(acc: Column, rule: Column) -> Column:
         here = F.contains(acc["rest"], rule["ids"])
-        # One match leaves a bar on either side, so two matches side by side both count.
-        return F.when(here, F.struct(F.replace(acc["rest"], rule["ids"], F.lit("|")).alias("rest"), F.array_append(acc["names"], rule["name"]).alias("names"))).otherwise(acc)
+        # What was matched becomes an unknown sentence: no later rule takes it again, or reaches across it.
+        return F.when(here, F.struct(F.replace(acc["rest"], rule["ids"], F.lit(f"|{_BREAK}|")).alias("rest"), F.array_append(acc["names"], rule["name"]).alias("names"))).otherwise(acc)
 
     matched = known.select("doc_id", "ids", F.aggregate(rule_list, start, apply_rule)["names"].alias("names"))
     trimmed = F.regexp_replace(F.regexp_replace(F.array_join("ids", ","), r"(^|,)-(,-)*(?=,|$)", "$1-"), r"^-,?|,?-$", "")
@@ -257,16 +258,16 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op5_sql() -> str:
     known = ", ".join(f"('{i}', '{s}')" for i, s in SENTENCES.items())
-    rest = "'|' || array_to_string(ids, '|') || '|'"
+    rest = "'|' || array_to_string(ids, '||') || '|'"
     steps = []
     for k, (name, ids) in enumerate(RULES):
         w = _written(ids)
-        steps.append(f"r{k} AS (SELECT doc_id, ids, replace(rest, '{w}', '|') AS rest, CASE WHEN contains(rest, '{w}') THEN list_append(names, '{name}') ELSE names END AS names FROM {'r' + str(k - 1) if k else 'begun'})")
+        steps.append(f"r{k} AS (SELECT doc_id, ids, replace(rest, '{w}', '|{_BREAK}|') AS rest, CASE WHEN contains(rest, '{w}') THEN list_append(names, '{name}') ELSE names END AS names FROM {'r' + str(k - 1) if k else 'begun'})")
     return f"""
 WITH known(id, plain) AS (VALUES {known}),
 cut AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?;:])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> '') AS sentences FROM documents),
 each AS (SELECT doc_id, rid, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS pos FROM cut),
-named AS (SELECT doc_id, rid, pos, coalesce(k.id, '{_BREAK}') AS id FROM each LEFT JOIN known k ON k.plain = trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AND length(s) <= {2 * max(map(len, SENTENCES.values()))}),
+named AS (SELECT doc_id, rid, pos, coalesce(k.id, '{_BREAK}') AS id FROM each LEFT JOIN known k ON k.plain = trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))),
 seq AS (SELECT doc_id, rid, list(id ORDER BY pos) AS ids FROM named GROUP BY ALL HAVING bool_or(id <> '{_BREAK}')),
 begun AS (SELECT doc_id, ids, {rest} AS rest, []::VARCHAR[] AS names FROM seq),
 {", ".join(steps)}
