@@ -78,10 +78,12 @@ class Ledger:
 
     def _load(self, parts: Sequence[dict]) -> DataFrame | None:
         held = [p for p in parts if p["rows"]]
-        return self.spark.read.parquet(*[f"{self.folder}/{p['folder']}" for p in held]) if held else None
+        if not held:
+            return None
+        return self.spark.read.option("basePath", f"{self.folder}/{held[0]['name']}").parquet(*[f"{self.folder}/{p['folder']}" for p in held])
 
     def read(self, name: str) -> DataFrame | None:
-        """All rows of a table, None before its first row."""
+        """All rows of a table with the ``commit`` of each, None before its first row."""
         return self._load(self.live(name))
 
     def known(self, name: str, keys: DataFrame) -> DataFrame | None:

@@ -19,7 +19,6 @@ from tracemill.sources.events import COLUMNS
 
 OPERATORS = ("contains", "startswith", "endswith", "equals", "regex", "equals_field", "basename_not_equals_field")
 SEVERITIES = ("low", "medium", "high", "critical")
-# Severities of Sigma levels; others are medium.
 # The rules that stand in where a folder has none, and techniques that a rule shows besides its own.
 DEFAULT_RULES = (
     {"id": "R-ENC", "name": "Encoded PowerShell Command", "field": "command_line", "pattern": r"powershell(?:\.exe)?\s+.*-(?:enc|encodedcommand)\s+([A-Za-z0-9+/=]{16,})", "mitre_technique": "T1059.001", "severity": "medium", "operator": "regex"},
@@ -27,6 +26,7 @@ DEFAULT_RULES = (
 )
 FURTHER_TECHNIQUES = {"R-ENC": ("T1027.010",)}
 LONGEST_PATTERN, LONGEST_ID = 8000, 120
+# Severities of Sigma levels; others are medium.
 SIGMA_SEVERITIES = {"informational": "low", "info": "low", "low": "low", "high": "high", "critical": "critical", "fatal": "critical"}
 
 
@@ -253,8 +253,11 @@ def detect(events: DataFrame, rules: Iterable[Rule], distinct: bool = True) -> D
     # The context is cut from rows that match only, after the explosion.
     value, text = F.col("f.hit.value"), F.col("f.hit.text")
     found = found.select(*COLUMNS, *[f"f.{c}" for c in ("rule_id", "rule_name", "severity", "technique")], value.alias("matched_value"), T.context(text, value).alias("matched_context"))
-    if not distinct:
-        return found
+    return folded(found) if distinct else found
+
+
+def folded(found: DataFrame) -> DataFrame:
+    """The first finding of each (rule, event, value)."""
     key = ("rule_id", "timestamp", "host", "source", "event_id", "matched_value")
     return found.groupBy(*key).agg(F.min(F.struct("ord", *[c for c in found.columns if c not in (*key, "ord")])).alias("first")).select(*key, "first.*")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
-from tracemill.operators import canonical, correlation, graph, logons, remote, rules, scenarios, scopes, summaries
+from tracemill.operators import automaton, canonical, correlation, graph, logons, remote, rules, scenarios, scopes, summaries
 from tracemill.sources import events as sources
 from tracemill.sources.events import lookup
 
@@ -141,10 +141,11 @@ def analyse(
     """
     clean = with_parents(sources.normalise(events))
     clean = clean.orderBy("ord").limit(limit) if limit else clean
-    found = rules.detect(clean, detection)
+    wide = graph.cut(fields(clean))  # every later step reads these columns instead of the records
+    clean = wide.select(*clean.columns)
+    found = automaton.detect(clean, detection)
     found = found.unionByName(external) if external is not None else found
     findings = graph.cut(rules.filter_findings(found, least))
-    wide = fields(clean)
     matches = graph.cut(remote.matches(wide))
     life = logons.lifecycles(wide)
     columns = ("kind", "chain_id", "ord", "ts_us")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracemill.functions import attack
 from tracemill.functions import text as T
-from tracemill.operators import canonical, evaluation, protocols, reports, store, summaries
+from tracemill.operators import automaton, canonical, evaluation, ledger, protocols, reports, store, summaries, tables
+from tracemill.operators.rules import SEVERITIES, Condition, Rule
 from tracemill.sources import artifacts, windows_xml
 
 from . import queries as base
-from .log_queries import FOUND, LOG, LOG_RULES, log, log_findings
+from .log_queries import FOUND, LOG, log, log_findings
 from .queries import _EVENTS, _FINDINGS, events, found, query, table
 
 _RANK = "CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 ELSE 0 END"
@@ -103,33 +106,68 @@ def even_sample(spark, sf_dir):
     return reports.even_sample(events(spark, sf_dir).select("ord", "ts_us"), 100).select("ord")
 
 
-@query(
-    "WITH r(id, name, severity, technique, operator, tactic) AS (VALUES "
-    + ", ".join(f"('{r.id}', '{r.name}', '{r.severity}', {repr(r.technique) if r.technique else 'NULL'}, '{r.operator}', 0)" for r in (*base.RULES, *LOG_RULES))
-    + f"), {_DIMS} SELECT id, r.name, severity, technique, operator, coalesce(tactics.tactic, 'Unmapped') AS tactic FROM r LEFT JOIN tactics ON whole = split_part(technique, '.', 1)"
-)
+# Rules kept in a table: one per nation, its techniques by region.
+_TECHNIQUES = ("T1059.001", "T1105", "T1003.001", "T1021", None)
+_NATION_RULES = f"""r AS (SELECT 'N' || n_nationkey AS id, n_name AS name, (['low', 'medium', 'high', 'critical'])[n_nationkey % 4 + 1] AS severity,
+  ([{", ".join(f"'{t}'" if t else "NULL" for t in _TECHNIQUES)}])[n_regionkey + 1] AS technique, 'contains' AS operator, n_regionkey = 0 AS narrow, '"k": ' || n_nationkey || '}}' AS pattern FROM nation)"""
+
+
+def nation_rules(spark, sf_dir):
+    """A rule for each row of ``nation``, which has 25 at any size; rules are metadata of the program."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
+    narrow = (Condition("source", "error"),)
+    return [Rule(f"N{r.n_nationkey}", r.n_name, "command_line", f'"k": {r.n_nationkey}}}', "contains", SEVERITIES[r.n_nationkey % 4], _TECHNIQUES[r.n_regionkey], all_of=() if r.n_regionkey else narrow) for r in rows]
+
+
+@query(f"WITH {_EVENTS}, {_NATION_RULES} SELECT ord, id AS rule_id, r.name AS rule_name, severity, technique, pattern AS matched_value FROM e JOIN r ON contains(command_line, pattern) AND (NOT narrow OR source = 'error')")
+def detect_by_automaton(spark, sf_dir):
+    found = automaton.detect(events(spark, sf_dir), nation_rules(spark, sf_dir))
+    return found.select("ord", "rule_id", "rule_name", "severity", "technique", "matched_value")
+
+
+@query(f"WITH {_NATION_RULES}, {_DIMS} SELECT id, r.name, severity, technique, operator, coalesce(tactics.tactic, 'Unmapped') AS tactic FROM r LEFT JOIN tactics ON whole = split_part(technique, '.', 1)")
 def rule_catalogue(spark, sf_dir):
-    return reports.catalogue(spark, [*base.RULES, *LOG_RULES]).select("id", "name", "severity", "technique", "operator", "tactic")
+    return reports.catalogue(spark, nation_rules(spark, sf_dir)).select("id", "name", "severity", "technique", "operator", "tactic")
 
 
 @query(
-    "WITH r(technique, severity) AS (VALUES " + ", ".join(f"({repr(r.technique) if r.technique else 'NULL'}, '{r.severity}')" for r in (*base.RULES, *LOG_RULES))
-    + f"""), {_DIMS}, g AS (SELECT coalesce(tactic, 'Unmapped') AS tactic, coalesce(any_value(place), 15) AS p, count(*) AS rules, array_to_string(list_sort(list(DISTINCT coalesce(technique, 'UNKNOWN'))), ',') AS techniques, max({_RANK}) AS worst
+    f"""WITH {_NATION_RULES}, {_DIMS}, g AS (SELECT coalesce(tactic, 'Unmapped') AS tactic, coalesce(any_value(place), 15) AS p, count(*) AS rules, array_to_string(list_sort(list(DISTINCT coalesce(technique, 'UNKNOWN'))), ',') AS techniques, max({_RANK}) AS worst
   FROM r LEFT JOIN tactics ON whole = split_part(technique, '.', 1) GROUP BY 1) SELECT tactic, rules, techniques, worst, row_number() OVER (ORDER BY p, rules DESC) AS place FROM g"""
 )
 def rule_coverage(spark, sf_dir):
-    return reports.rule_coverage(reports.catalogue(spark, [*base.RULES, *LOG_RULES]))
+    return reports.rule_coverage(reports.catalogue(spark, nation_rules(spark, sf_dir)))
 
 
 _CORE = ", ".join(f"'{c}'" for c in attack.CORE)
 
 
 @query(
-    "WITH r(technique) AS (VALUES " + ", ".join(f"({repr(r.technique) if r.technique else 'NULL'})" for r in (*base.RULES, *LOG_RULES))
-    + f") SELECT count(*) AS n_rules, count(technique) AS n_mapped, len(list_intersect([{_CORE}], list(technique))) AS n_core, round(len(list_intersect([{_CORE}], list(technique))) * 100.0 / {len(attack.CORE)}, 1)::DOUBLE AS percent FROM r"
+    f"WITH {_NATION_RULES} SELECT count(*) AS n_rules, count(technique) AS n_mapped, len(list_intersect([{_CORE}], list(technique))) AS n_core, round(len(list_intersect([{_CORE}], list(technique))) * 100.0 / {len(attack.CORE)}, 1)::DOUBLE AS percent FROM r"
 )
 def core_coverage(spark, sf_dir):
-    return reports.core_coverage(reports.catalogue(spark, [*base.RULES, *LOG_RULES])).drop("missing")
+    return reports.core_coverage(reports.catalogue(spark, nation_rules(spark, sf_dir))).drop("missing")
+
+
+@query(
+    f"""WITH {_FINDINGS}, b AS (SELECT *, (epoch_us(date_trunc('day', to_timestamp(ts_us / 1000000))) - (SELECT min(epoch_us(date_trunc('day', to_timestamp(ts_us / 1000000)))) FROM e)) // 86400000000 AS day FROM e),
+  p AS (SELECT ord, CASE WHEN day = 0 THEN 0 ELSE least(4, (day - 1) // 6) END AS batch FROM b)
+  SELECT batch, count(DISTINCT p.ord) AS n_events, count(f.ord) AS n_findings FROM p LEFT JOIN f USING (ord) GROUP BY batch"""
+)
+def stored_batches(spark, sf_dir):
+    """Five batches of a week each, which begin with the day that the one before ended with, appended to a store: what each adds."""
+    e = events(spark, sf_dir)
+    day = F.floor(F.col("ts_us") / 86_400_000_000)
+    first = e.agg(F.min(day)).first()[0]
+    if first is None:
+        return spark.createDataFrame([], "batch long, n_events long, n_findings long")
+    folder = f"{tables.shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    for k in range(5):
+        last = day <= first + 6 * k + 6 if k < 4 else F.lit(True)
+        store.append(e.where((day >= first + 6 * k) & last), folder, "weeks", k, base.RULES)
+    book = ledger.Ledger(spark, folder)
+    n_events = book.read("events").groupBy(F.regexp_extract("commit", "^weeks-([0-9]+)-", 1).cast("long").alias("batch")).agg(F.count("*").alias("n_events"))
+    n_findings = book.read("findings").groupBy(F.regexp_extract("commit", "^weeks-([0-9]+)-", 1).cast("long").alias("batch")).agg(F.count("*").alias("n_findings"))
+    return n_events.join(n_findings, "batch", "left").na.fill(0, ["n_findings"])
 
 
 @query(f"WITH {_FINDINGS} SELECT ord, rule_id, sha256(concat_ws('|', rule_id, severity, coalesce(technique, ''), sha256(concat_ws('|', timestamp, host, source, ord::VARCHAR, \"user\", command_line)), matched_value)) AS hash FROM f")
@@ -302,8 +340,7 @@ def merged_copies(spark, sf_dir):
     """Orders written twice, merged by identity; a difference would fail the job."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     twice = orders.withColumn("place", F.lit(1)).unionAll(orders.withColumn("place", F.lit(2)))
-    protocols.unique_or_fail(orders, "o_orderkey")
-    return protocols.merge_same(twice, ["o_orderkey"], ["place"]).select("o_orderkey", "o_custkey")
+    return protocols.merge_same(twice, ["o_orderkey"], ["place"]).join(protocols.unique_or_fail(orders, "o_orderkey"), "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'malicious' WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'ignore' ELSE 'benign' END AS label FROM documents")
