@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import attack
 from tracemill.functions import text as T
-from tracemill.operators import automaton, canonical, evaluation, ledger, protocols, reports, store, summaries, tables
+from tracemill.operators import automaton, canonical, evaluation, growing, ledger, nesting, protocols, reports, store, summaries, tables
 from tracemill.operators.rules import SEVERITIES, Condition, Rule
 from tracemill.sources import artifacts, windows_xml
 
@@ -393,3 +393,45 @@ def executive_summary(spark, sf_dir):
     return reports.executive_summary(summaries.risk(found(spark, sf_dir))).select("summary")
 
 
+
+
+_LINKS = "n AS (SELECT count(*) AS n FROM customer), l AS (SELECT o_custkey AS a, 1 + o_orderkey % n AS b, o_orderkey FROM orders, n)"
+
+
+def _links(spark, sf_dir):
+    """A sparse graph over customers: an order ties its customer to one that its number gives."""
+    n = table(spark, sf_dir, "customer").count()
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("a"), (1 + F.col("o_orderkey") % max(n, 1)).cast("long").alias("b"), "o_orderkey")
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS}, e AS (SELECT a, b FROM l WHERE o_orderkey % 37 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  r(node, far) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.far) SELECT node, min(far) AS component FROM r GROUP BY node"""
+)
+def growing_components(spark, sf_dir):
+    """Components of customers, whose links come in three batches."""
+    kept = growing.Components(ledger.Ledger(spark, f"{tables.shared_folder(spark)}/growing-{uuid.uuid4().hex}"))
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("node"))
+    links = _links(spark, sf_dir).where("o_orderkey % 37 = 0")
+    for k in range(3):
+        kept.add(nodes.where(F.col("node") % 3 == k), links.where(F.floor(F.col("o_orderkey") / 37) % 3 == k), "orders", k)
+    return kept.labels()
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT least(a, b) AS parent, greatest(a, b) AS child FROM l WHERE o_orderkey % 23 = 0 AND a <> b),
+  r("member", "group") AS (SELECT o_orderkey, a FROM l WHERE o_orderkey % 11 = 0 UNION SELECT r."member", e.parent FROM r JOIN e ON e.child = r."group") SELECT * FROM r"""
+)
+def nested_groups(spark, sf_dir):
+    """Groups that hold an order: its customer, and the groups that hold that one."""
+    links = _links(spark, sf_dir)
+    edges = links.where("o_orderkey % 23 = 0 AND a <> b").select(F.least("a", "b").alias("parent"), F.greatest("a", "b").alias("child"))
+    return nesting.memberships(links.where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("member"), F.col("a").alias("group")), edges)
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT a, b FROM l WHERE o_orderkey % 9 = 0), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+  SELECT r.a AS node, max(r.b) AS "cycle" FROM r JOIN r s ON s.a = r.b AND s.b = r.a GROUP BY r.a"""
+)
+def group_cycles(spark, sf_dir):
+    return nesting.cycles(_links(spark, sf_dir).where("o_orderkey % 9 = 0").select(F.col("a").alias("parent"), F.col("b").alias("child")))
