@@ -64,6 +64,15 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """From now on rows go to Python in Arrow batches of ``limit`` bytes, so that long texts don't add up; what a user has set stays."""
+    if spark.conf.get(_BATCH_BYTES, None) == "67108864b":  # Spark's own default
+        spark.conf.set(_BATCH_BYTES, str(limit))
+
+
 def in_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in slices of ``limit`` bytes of a text or binary column, or of one row that has more."""
     for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_chunks, text_of
+from .common import bound_batches, documents, in_chunks, text_of
 
 SPACES = " \t\n\v\f\r"
 #: Marks of prefix, suffix and middle.
@@ -97,6 +97,7 @@ def transform(docs: DataFrame, seed: int = SEED, rate: int = RATE, suffix_first_
     suffix first. The cuts follow from seed and id, so a task that runs again gives the same rows.
     """
     event_automaton(sentinels)  # an error in them shows here
+    bound_batches(docs.sparkSession)
     slim = docs.select("doc_id", text_of().alias("text"))
     return slim.mapInArrow(_transformed(seed, rate, suffix_first_rate, sentinels), f"doc_id {dict(slim.dtypes)['doc_id']}, {_SCHEMA}")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, store, text_of
+from .common import bound_batches, documents, store, text_of
 from .components import connected_components
 
 SIZE, PERCENT = 2, 80
@@ -143,12 +143,14 @@ def _set_reader(size: int):
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, shingles) of the wanted nodes (doc_id, node), from the texts of documents that stand for them."""
+    bound_batches(docs.sparkSession)
     slim = docs.select("doc_id", text_of().alias("text")).join(wanted.select("doc_id", F.col("node").alias("wanted")), "doc_id")
     read = slim.select("wanted", "text").mapInArrow(_set_reader(size), "wanted binary, node binary, shingles array<long>")
     return read.where("node = wanted").select("node", "shingles").dropDuplicates(["node"])
 
 
 def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    bound_batches(docs.sparkSession)
     slim = docs.select("doc_id", text_of().alias("text"))
     return slim.mapInArrow(_signer(size, bands, rows), f"doc_id {dict(slim.dtypes)['doc_id']}, n_shingles long, node binary, bands array<long>, sketch array<long>")
 

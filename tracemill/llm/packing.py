@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, store, text_of
+from .common import bound_batches, documents, store, text_of
 
 MAX_TOKENS, MAX_DOCUMENTS, END_ID = 1024, 1024, 2
 #: Residual weights of tokens, documents and attention cost: tokens decide, the others break near-ties.
@@ -89,6 +89,7 @@ def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, end_id: int = END_ID,
 
     A longer document is cut from its end, so that only its first piece may be shorter than ``max_tokens``.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select("doc_id", text_of().alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, doc_crc, documents, in_chunks, text_of
+from .common import WORD_GAP, bound_batches, doc_crc, documents, in_chunks, text_of
 
 MIN_LENGTH, CHUNK = 12, 1 << 20
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
@@ -230,6 +230,7 @@ def runs(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
 
     The collapsed text leaves out each word that lies in a run beyond the first period of it.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select("doc_id", text_of().alias("text"))
     return slim.mapInArrow(_collapsed(min_length), f"doc_id {dict(slim.dtypes)['doc_id']}, {_SCHEMA}")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_crc, documents, text_of
+from .common import bound_batches, doc_crc, documents, text_of
 
 SIZES, HASH_BITS = (3, 4, 5), 20
 MAX_ROWS, SMOOTHING, THRESHOLD = 4000, 5.0, 0.7
@@ -95,6 +95,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, smoothing: float = SMOOTHING, epochs: int = 20) -> ToxicityModel:
+    bound_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, max_rows)
     counted = sample.mapInArrow(_count, "gram int, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     rows = sample.mapInArrow(_list, "label long, grams array<int>").toArrow()
@@ -144,15 +145,17 @@ def _scorer(model: ToxicityModel):
         for batch in batches:
             for a in range(0, len(batch), 1000):  # so that few texts are decoded at a time
                 part = batch.slice(a, 1000)
-                yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(model.score(part.column("text").to_pylist()))], names=["kept", "score"])
+                texts = part.column("text") if "text" in part.schema.names else part.column("kept").field("text")
+                yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(model.score([t or "" for t in texts.to_pylist()]))], names=["kept", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every document, in a struct ``kept``, with ``score``."""
+    bound_batches(docs.sparkSession)
     kept = F.struct(*[docs[c] for c in keep]).alias("kept")
-    slim = docs.select(kept, text_of().alias("text"))
+    slim = docs.select(kept) if "text" in keep else docs.select(kept, text_of().alias("text"))  # no text travels twice
     return slim.mapInArrow(_scorer(model), f"kept {slim.schema['kept'].dataType.simpleString()}, score double")
 
 
