@@ -37,14 +37,14 @@ SIZE, PERCENT = 2, 80
 BANDS, ROWS, SKETCH_BITS = 40, 5, 1024
 SIFT = 0.65
 _SEED = 20240501
-_CHUNK = 200_000  # shingles hashed at a time
+_CHUNK, _KNOWN = 50_000, 50_000  # shingles hashed at a time, words whose hashes a worker keeps
 
 
 class _WordHashes(dict):
     """Hashes of words seen by this worker; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > _KNOWN:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
