@@ -26,7 +26,7 @@ def rows(spark, odd, number):
     return queries.QUERIES[name](spark, odd).collect()
 
 
-@pytest.mark.parametrize("number", [2, 4, 7, 8, 9, 10])
+@pytest.mark.parametrize("number", [2, 4, 7, 8, 9, 10, 12, 13])
 def test_one_row_per_row(spark, odd, number):
     found = rows(spark, odd, number)
     assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in ROWS)
