@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tracemill.plans import log_queries, queries, report_queries  # noqa: F401
+from tracemill.plans import incident_queries, log_queries, queries, report_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -107,14 +107,6 @@ def step_outcomes(pairs: DataFrame) -> DataFrame:
     return counted.withColumn("outcome", outcome).withColumn("share", F.round(F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)), 6))
 
 
-def miss_reason(has_rule: Column, any_event: Column, any_finding: Column, technique_elsewhere: Column, near: Column, host_seen: Column) -> Column:
-    """Why a pair was missed: the first reason that holds."""
-    return (
-        F.when(~has_rule, "no rule for the technique").when(~host_seen, "host not in the input").when(~any_event, "no event in the window").when(near, "finding just outside the window")
-        .when(technique_elsewhere, "technique found on another host").when(any_finding, "other findings in the window").otherwise("events without a finding")
-    )
-
-
 def day_window(rows: DataFrame, days: int = 14, of: int = 28) -> DataFrame:
     """One row: the first and last of the last ``days`` of the distinct UTC days of ``ts_us``, how many there are, and whether ``of`` follow one another."""
     each = rows.select(F.floor(F.col("ts_us") / DAY).alias("day")).distinct()
