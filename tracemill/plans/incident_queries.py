@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import misses, protocols, rules
+from tracemill.operators import misses, nested, protocols, rules
 from tracemill.operators.rules import Condition, Rule
+from tracemill.sources import event_tree
 
 from .log_queries import BEGIN, FASTER, LOG, log
 from .queries import query, table
@@ -69,3 +70,46 @@ def miss_reasons(spark, sf_dir):
 def step_hulls(spark, sf_dir):
     """From the first instant of each step to its last."""
     return misses.hulls(_attack(spark, sf_dir)[1])
+
+
+_HEX = "'0x' || printf('%x', k)"
+
+
+@query(
+    f"""WITH x AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+  SELECT event_id, CASE WHEN event_type = 'error' THEN 'unknown,ws' || (user_id % 3) ELSE 'h' || (user_id % 4) END AS hosts, 'u' || user_id AS users,
+  coalesce((SELECT string_agg(DISTINCT s, ',' ORDER BY s) FROM unnest([CASE WHEN event_type IN ('signup', 'click') AND k > 0 THEN {_HEX} END, CASE WHEN event_type = 'view' THEN 's' || k END, CASE WHEN k > 0 THEN k::VARCHAR END]) u(s)), '') AS sessions,
+  CASE WHEN event_type = 'purchase' THEN 'Security' END AS channel, CASE WHEN event_type = 'purchase' THEN event_id::VARCHAR END AS record_id FROM x"""
+)
+def nested_scopes(spark, sf_dir):
+    """Who and what nested records name: a host that its event names silences the one in its raw part, and a target's logon other sessions beside it."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    s, t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), F.col("event_type")
+    data = F.struct(F.when(t.isin("signup", "click"), s("0x00", F.hex("k"))).alias("TargetLogonId"), F.lit("0x3E7").alias("SubjectLogonId"), F.when(t == "view", s("S", F.col("k"))).alias("SessionId"))
+    system = F.when(t == "purchase", F.struct(F.lit("Security").alias("Channel"), F.col("event_id").alias("record_id")))
+    raw = F.struct(s("WS", F.col("user_id") % 3).alias("Computer"), data.alias("event_data"), F.struct(system.alias("System")).alias("Event"))
+    member = F.struct(F.struct(s(" U", F.col("user_id"), " ").alias("username")).alias("user"), F.col("k").alias("session_id"))
+    named = F.struct(F.when(t == "error", "unknown").otherwise(s("H", F.col("user_id") % 4)).alias("name"))
+    record = F.to_json(F.struct(named.alias("host"), F.lit("").alias("user"), raw.alias("raw"), F.array(member).alias("members")))
+    found = nested.record_identity(nested.scopes(e.select("event_id", record.alias("value"))))
+    listed = [F.array_join(c, ",").alias(c) for c in ("hosts", "users", "sessions")]
+    return found.select("event_id", *listed, "channel", "record_id")
+
+
+@query(
+    """SELECT event_id, 'Event' AS root, event_type || ',' || user_id AS names, props || ',-' AS texts, CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n_data, event_type = 'error' AS malformed FROM events WHERE event_type <> 'error'
+  UNION ALL SELECT event_id, NULL, NULL, NULL, 0, TRUE FROM events WHERE event_type = 'error'"""
+)
+def event_trees(spark, sf_dir):
+    """User data of events as a tree: the attributes and texts of repeated elements, in order; errors are cut off and can't be read."""
+    e = table(spark, sf_dir, "events")
+    s = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    inner = s('<a:Item Name="', F.col("event_type"), '">', F.col("props"), '</a:Item><a:Item Name="', F.col("user_id"), '"> </a:Item><Data/>', F.when(F.col("user_id") % 2 == 0, "<Data>x</Data>").otherwise(""))
+    xml = s("<Event xmlns:a='urn:a' xmlns='urn:b'>\n<UserData>", inner, F.when(F.col("event_type") == "error", "</UserData>").otherwise("</UserData></Event>"))
+    read = e.select("event_id", event_tree.tree(xml).alias("t"))
+    at, whole = ("UserData", "Item"), F.col("t").isNotNull()
+    joined = lambda c: F.when(whole, F.array_join(c, ",", "-"))
+    return read.select(
+        "event_id", F.try_variant_get("t", "$.tag", "string").alias("root"), joined(event_tree.attributes(F.col("t"), "Name", *at)).alias("names"), joined(event_tree.texts(F.col("t"), *at)).alias("texts"),
+        F.size(event_tree.nodes(F.col("t"), "UserData", "Data")).cast("long").alias("n_data"), (~whole).alias("malformed"),
+    )
