@@ -44,7 +44,11 @@ def risk(findings: DataFrame) -> DataFrame:
 
 def host_risk(findings: DataFrame) -> DataFrame:
     """Score, counts, worst severity and most frequent rule (the earliest seen at a tie) of each host."""
-    by_rule = findings.groupBy("host", "rule_id", "severity", "technique").agg(F.count("*").alias("n"), F.min("ord").alias("seen"))
+    return host_risk_of(findings.groupBy("host", "rule_id", "severity", "technique").agg(F.count("*").alias("n"), F.min("ord").alias("seen")))
+
+
+def host_risk_of(by_rule: DataFrame) -> DataFrame:
+    """:func:`host_risk` of counts ``n`` and first places ``seen`` by host, rule, severity and technique."""
     rules = by_rule.groupBy("host", "rule_id").agg(F.sum("n").alias("rule_n"), F.min("seen").alias("seen")).groupBy("host").agg(F.max_by("rule_id", F.struct("rule_n", -F.col("seen"))).alias("top_rule"))
     worst = F.max_by("severity", severity_rank(F.col("severity"))).alias("max_severity")
     total = by_rule.groupBy("host").agg(F.sum("n").alias("n_findings"), F.sum(F.col("n") * points(F.col("severity"))).alias("p"), F.countDistinct("technique").alias("t"), worst)

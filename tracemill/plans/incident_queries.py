@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import misses, nested, protocols, rules
+from tracemill.operators import misses, nested, protocols, rollups, rules, tables
 from tracemill.operators.rules import Condition, Rule
 from tracemill.sources import event_tree
 
 from .log_queries import BEGIN, FASTER, LOG, log
-from .queries import query, table
+from .queries import _FINDINGS, _POINTS, _RANK, ORACLE_SQL, found, query, table
 
 # Rules that the diagnosis is tried on: one finds commands that no event of the log has.
 MISS_RULES = (
@@ -113,3 +113,30 @@ def event_trees(spark, sf_dir):
         "event_id", F.try_variant_get("t", "$.tag", "string").alias("root"), joined(event_tree.attributes(F.col("t"), "Name", *at)).alias("names"), joined(event_tree.texts(F.col("t"), *at)).alias("texts"),
         F.size(event_tree.nodes(F.col("t"), "UserData", "Data")).cast("long").alias("n_data"), (~whole).alias("malformed"),
     )
+
+
+def _summaries(spark, sf_dir):
+    """Hourly summaries of all findings, made and stored in two batches of mixed hours, as they would be over time."""
+    timed = found(spark, sf_dir)
+    late = F.xxhash64("ord") % 2 == 0
+    return [tables.store(rollups.hourly(timed.where(part), distinct=("user",), top=("user",)), "hours") for part in (late, ~late)]
+
+
+@query(
+    f"""WITH {_FINDINGS}, d AS (SELECT *, ts_us // 86400000000 AS day FROM f), u AS (SELECT day, "user" AS item, count(*) AS n FROM d GROUP BY ALL), t AS (SELECT day, item, n FROM u QUALIFY row_number() OVER (PARTITION BY day ORDER BY n DESC, item) <= 3)
+  SELECT day, count(*) AS n, sum({_POINTS})::BIGINT AS points, min(ts_us) AS first_us, max(ts_us) AS last_us, max({_RANK})::BIGINT AS max_rank, count(DISTINCT "user") AS n_users, any_value(s) AS top_users
+  FROM d JOIN (SELECT day, string_agg(item || ':' || n, ',' ORDER BY n DESC, item) AS s FROM t GROUP BY day) USING (day) GROUP BY day"""
+)
+def daily_report(spark, sf_dir):
+    """Counts, worst severity, distinct and most frequent users by day, merged from hourly summaries of two batches."""
+    first, second = _summaries(spark, sf_dir)
+    days = rollups.merged(first.unionByName(second).withColumn("day", F.floor(F.col("hour_us") / (24 * rollups.HOUR))), "day")
+    shown = F.transform(rollups.most("user_top", 3), lambda x: F.concat_ws(":", x["item"], x["count"]))
+    return days.select("day", "n", "points", "first_us", "last_us", "max_rank", rollups.n_distinct("user_distinct").alias("n_users"), F.array_join(shown, ",").alias("top_users"))
+
+
+@query(ORACLE_SQL["host_risk"])
+def host_risk_over_time(spark, sf_dir):
+    """Risk by host from hourly summaries: the same rows as from all findings."""
+    first, second = _summaries(spark, sf_dir)
+    return rollups.host_risk(first.unionByName(second))
