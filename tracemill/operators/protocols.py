@@ -107,6 +107,25 @@ def step_outcomes(pairs: DataFrame) -> DataFrame:
     return counted.withColumn("outcome", outcome).withColumn("share", F.round(F.coalesce(F.try_divide("hits", "n"), F.lit(0.0)), 6))
 
 
+def flagged(findings: DataFrame, key: Sequence[str] = ("path", "ord")) -> DataFrame:
+    """Each flagged event once, with its findings nested in the order of rules and values: as many as rules at most."""
+    told = [c for c in ("rule_id", "rule_name", "severity", "technique", "matched_value", "matched_context") if c in findings.columns]
+    return findings.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*told))).alias("findings"))
+
+
+def blind_counts(findings: DataFrame, key: Sequence[str] = ("path", "ord")) -> DataFrame:
+    """Findings and distinct flagged events by rule."""
+    each = findings.groupBy("rule_id", *key).agg(F.count("*").alias("n"))
+    return each.groupBy("rule_id").agg(F.sum("n").alias("n_findings"), F.count("*").alias("n_events"))
+
+
+def file_counts(events: DataFrame, findings: DataFrame, path: str = "path") -> DataFrame:
+    """Records and findings by file, also of files without findings; a finding of no known file fails the job."""
+    records, found = events.groupBy(path).agg(F.count("*").alias("n_records")), findings.groupBy(path).agg(F.count("*").alias("n_findings"))
+    ok = F.when(F.col("n_records").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("a finding belongs to no file")).cast("boolean"))
+    return records.join(found, path, "full_outer").where(ok).na.fill(0, ["n_findings"])
+
+
 def day_window(rows: DataFrame, days: int = 14, of: int = 28) -> DataFrame:
     """One row: the first and last of the last ``days`` of the distinct UTC days of ``ts_us``, how many there are, and whether ``of`` follow one another."""
     each = rows.select(F.floor(F.col("ts_us") / DAY).alias("day")).distinct()

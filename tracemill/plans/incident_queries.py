@@ -8,7 +8,7 @@ from tracemill.operators import misses, nested, protocols, rollups, rules, table
 from tracemill.operators.rules import Condition, Rule
 from tracemill.sources import event_tree
 
-from .log_queries import BEGIN, FASTER, LOG, log
+from .log_queries import BEGIN, FASTER, FOUND, LOG, log, log_findings
 from .queries import _FINDINGS, _POINTS, _RANK, ORACLE_SQL, found, query, table
 
 # Rules that the diagnosis is tried on: one finds commands that no event of the log has.
@@ -140,3 +140,23 @@ def host_risk_over_time(spark, sf_dir):
     """Risk by host from hourly summaries: the same rows as from all findings."""
     first, second = _summaries(spark, sf_dir)
     return rollups.host_risk(first.unionByName(second))
+
+
+@query(f"WITH {FOUND} SELECT host AS path, ord, count(*) AS n, string_agg(rule_id || '=' || matched_value, ';' ORDER BY rule_id, matched_value) AS findings FROM f GROUP BY ALL")
+def flagged_events(spark, sf_dir):
+    """Flagged events with their findings nested; the hosts stand for files."""
+    nested_ = protocols.flagged(log_findings(spark, sf_dir).withColumnRenamed("host", "path"))
+    shown = F.transform("findings", lambda x: F.concat_ws("=", x["rule_id"], x["matched_value"]))
+    return nested_.select("path", "ord", F.size("findings").cast("long").alias("n"), F.array_join(shown, ";").alias("findings"))
+
+
+@query(f"WITH {FOUND} SELECT rule_id, count(*) AS n_findings, count(DISTINCT ord) AS n_events FROM f GROUP BY rule_id")
+def blind_rules(spark, sf_dir):
+    return protocols.blind_counts(log_findings(spark, sf_dir), ("host", "ord"))
+
+
+@query(f"WITH {FOUND}, l AS (SELECT *, host || '/' || event_id AS path FROM log) SELECT path, count(DISTINCT l.ord) AS n_records, count(f.ord) AS n_findings FROM l LEFT JOIN f USING (ord) GROUP BY path")
+def blind_files(spark, sf_dir):
+    """Records and findings by file; hosts with kinds of events stand for files, some of which have no findings."""
+    path = F.concat_ws("/", "host", "event_id").alias("path")
+    return protocols.file_counts(log(spark, sf_dir).select(path), log_findings(spark, sf_dir).select(path))
