@@ -37,3 +37,15 @@ def test_hours_are_cut_whole_and_empty_tables_stay_empty(findings):
     with pytest.raises(ValueError):
         rollups.between(rows, 1, rollups.HOUR)
     assert rollups.hourly(findings.where("false"), distinct=("user",), top=("user",)).collect() == []
+
+
+def test_exact_counts_of_more_values_than_sketches_hold(findings):
+    rows = None
+    for i in range(3):
+        part = rollups.values(findings.where(F.col("ord") % 3 == i), "user")
+        rows = part if rows is None else rows.unionByName(part)
+    got = rollups.exact(rows.withColumn("whole", F.lit(1)), "whole", 3).first()
+    users = findings.groupBy("user").count()
+    expected = users.orderBy(F.desc("count"), "user").limit(3).collect()
+    assert got.n_items == users.count() > rollups.MOST
+    assert [tuple(x) for x in got.top] == [tuple(r) for r in expected]

@@ -7,7 +7,8 @@ column whose top is. Batches may come in any order and late: an hour may have se
 
 Distinct counts have a relative standard error of about 1.04 / sqrt(2 ** ``LG_K``), 1.6 %; tops are exact up to
 ``MOST`` * 3 / 4 different values, else a value's count is short by at most some rows / ``MOST``. Nulls count
-as no value in sketches; findings without an instant fall into the hour null.
+as no value in sketches; findings without an instant fall into the hour null. Where distinct counts and tops must
+be exact whatever the number of values, :func:`values` keeps a row by hour and value instead.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .rules import severity_rank
 from .segments import SECOND
-from .summaries import host_risk_of, points
+from .summaries import host_risk_of, points, top
 
 HOUR = 3_600 * SECOND
 LG_K, MOST = 12, 10_000
@@ -62,6 +63,22 @@ def most(sketch: str, size: int = 5) -> Column:
     return F.transform(F.slice(ordered, 1, size), lambda x: F.struct(x["item"].alias("item"), (-x["less"]).alias("count")))
 
 
+def values(findings: DataFrame, column: str) -> DataFrame:
+    """(hour_us, item, n): how often each value but null comes in each hour. Rows of several batches merge by :func:`exact`; they grow with the values, sketches don't."""
+    hour = (F.floor(F.col("ts_us") / HOUR) * HOUR).alias("hour_us")
+    return findings.where(F.col(column).isNotNull()).groupBy(hour, F.col(column).alias("item")).agg(F.count("*").alias("n"))
+
+
+def exact(rows: DataFrame, by: str, size: int = 5) -> DataFrame:
+    """(by, n_items, top) from rows of :func:`values`: exactly how many values there are, and the most frequent as (item, count), equal ones by value."""
+    counted = rows.groupBy(by, "item").agg(F.sum("n").alias("n"))
+    sizes = counted.groupBy(by).agg(F.count("*").alias("n_items"))
+    first = top(counted, by, [F.desc("n"), F.col("item")], size).groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "item"))).alias("found"))
+    shown = F.transform("found", lambda x: F.struct(x["item"].alias("item"), (-x["less"]).alias("count"))).alias("top")
+    groups = sizes.withColumnRenamed(by, "_by")
+    return groups.join(first, F.col("_by").eqNullSafe(F.col(by))).select(by, "n_items", shown)
+
+
 def host_risk(rows: DataFrame) -> DataFrame:
     """:func:`summaries.host_risk` from summary rows by host, rule, severity and technique."""
     return host_risk_of(merged(rows, "host", "rule_id", "severity", "technique").withColumnRenamed("first_ord", "seen"))
