@@ -54,7 +54,7 @@ def append(events: DataFrame, folder: str, stream: str, batch: int, detection: I
     new = tables.store(fresh(rows, book.known("events", rows.select("event_key", "ts_us")), ["event_key"]), "fresh")
     parts = {"events": new}
     if detection := list(detection):
-        parts["findings"] = fresh(rules.detect(new, detection).join(new.select("ord", "event_key"), "ord"), None, FINDING_KEY)
+        parts["findings"] = keyed(rules.detect(new, detection, distinct=False))  # keys of new events differ, so no finding comes twice
     done = book.commit(stream, batch, parts, offsets)
     tables.discard(rows, new)
     return done
