@@ -179,3 +179,15 @@ def test_components_of_a_long_path(spark):
     nodes = spark.range(300).select(F.col("id").alias("node"))
     edges = nodes.where("node % 100 <> 99").select(F.col("node").alias("a"), (F.col("node") + 1).alias("b"))
     assert {r.node: r.component for r in graph.components(nodes, edges).collect()} == {k: k - k % 100 for k in range(300)}
+
+
+def test_remote_evidence_in_blocks_without_pairs(spark):
+    """Commands find their evidence along lines of time, also cut in blocks; the only join is that of names of hosts."""
+    from tracemill.operators import remote
+    from tracemill.plans.log_queries import log
+
+    events = log(spark, "/root/testdata/sf0.001")
+    key = lambda r: (r.source_ord, r.target_host, r.method, r.operation, r.service, tuple(r.evidence), r.start_us, r.end_us)
+    plain, cut = remote.matches(events), remote.matches(events, least=20)
+    assert sorted(map(key, plain.collect())) == sorted(map(key, cut.collect())) != []
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()

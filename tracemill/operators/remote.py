@@ -1,20 +1,18 @@
 """Remote execution: commands that name another host, joined in time with what that host recorded.
 
 Expects events with the columns of :func:`evidence_columns`; ``host`` is compared without case and
-trailing dots. Every join is an equi-join on the host and a time slot.
+trailing dots. Commands and what hosts recorded lie on lines of time by host, so no pairs are made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
 
-from .correlation import SECOND
+from . import tables
+from .segments import SECOND, Fold, Line
 
 # Which events tell a remote command, how targets are written in it, and the reach of each kind of evidence.
 SOURCE_IDS, SERVICE_IDS, PROCESS_IDS, LOGON_ID, NETWORK_LOGON = ("1", "4104", "4688"), ("7045", "4697"), ("1", "4688"), "4624", "3"
@@ -46,19 +44,29 @@ def aliases(events: DataFrame) -> DataFrame:
     return named.groupBy("alias").agg(F.min("host").alias("target_host"), F.max("host").alias("last")).where("target_host = last").drop("last")
 
 
-def _first(commands: DataFrame, evidence: DataFrame, alias: str, condition: Column | None = None, back: int = BACK, ahead: int = AHEAD, last: bool = False, extra: Sequence[str] = ()) -> DataFrame:
-    """Each command's first (or last) evidence on its target from ``back`` seconds before to ``ahead`` after, as ``alias`` (r_ord and extras)."""
-    width, reach = (back + ahead) * SECOND, F.col("ts_us") - back * SECOND
-    slot = F.floor(reach / width)
-    a = commands.select("*", F.explode(F.array(slot, slot + 1)).alias("slot"))
-    b = evidence.select(*[F.col(c).alias(f"r_{c}") for c in evidence.columns], F.floor(F.col("ts_us") / width).alias("r_slot"))
-    on = (F.col("target_host") == F.col("r_host")) & (F.col("slot") == F.col("r_slot")) & F.col("r_ts_us").between(reach, F.col("ts_us") + ahead * SECOND)
-    joined = a.join(b, on if condition is None else on & condition)
-    pick = F.max if last else F.min
-    return joined.groupBy("command").agg(pick(F.struct("r_ts_us", "r_ord", *[f"r_{c}" for c in extra])).alias(alias))
+_COMMAND = ("ord", "ts_us", "source_host", "account", "target_host", "method", "operation", "service")
+
 
+def _answered(asks: DataFrame, evidence: DataFrame, least: int | None) -> DataFrame:
+    """Asks (command, kind, value) with ``found`` (ts_us, ord, file): the first evidence of their kind and value on their target in reach, the last for ``defined``.
 
-def matches(events: DataFrame) -> DataFrame:
+    Asks and evidence (host, kind, value, seen) lie on one line of time by host, kind and value, so work grows with
+    their number and not with their pairs, however many meet in a moment.
+    """
+    key = lambda host: F.concat_ws("\0", host, "kind", "value").alias("key")
+    at = F.when(F.col("kind") == "defined", F.col("ts_us") + BACK * SECOND).otherwise(F.col("ts_us") - BACK * SECOND)
+    side = F.when(F.col("kind") == "defined", 2).otherwise(0)
+    none = lambda frame, name: F.lit(None).cast(frame.schema[name].dataType).alias(name)
+    asked = asks.select(key("target_host"), at.alias("at_us"), side.alias("side"), F.lit(None).cast("long").alias("place"), none(evidence, "seen"), F.struct(*_COMMAND, "kind").alias("asked"))
+    given = evidence.select(key("host"), F.col("seen.ts_us").alias("at_us"), F.lit(1).alias("side"), F.col("seen.ord").alias("place"), "seen", none(asked, "asked"))
+    line = Line(asked.unionByName(given), ["key"], ["at_us", "side", "place"], least).fold(after=Fold("first", F.col("seen"), own=False), before=Fold("last", F.col("seen"), own=False))
+    held = line.rows().where("asked IS NOT NULL").select("asked.*", "after", "before")
+    last = F.when(F.col("before.ts_us") >= F.col("ts_us") - DEFINED_BACK * SECOND, F.col("before"))
+    first = F.when(F.col("after.ts_us") <= F.col("ts_us") + AHEAD * SECOND, F.col("after"))
+    return held.select(*_COMMAND, "kind", F.when(F.col("kind") == "defined", last).otherwise(first).alias("found")).where("found IS NOT NULL")
+
+
+def matches(events: DataFrame, least: int | None = None) -> DataFrame:
     """Remote executions with their evidence.
 
     ``events``: ord, ts_us, host, event_id, user, and from the record logon_type, target_user, service,
@@ -72,41 +80,44 @@ def matches(events: DataFrame) -> DataFrame:
     named = e.where(F.col("event_id").isin(*SOURCE_IDS)).select("ord", "ts_us", F.col("host").alias("source_host"), "account", F.explode(targets(F.col("texts"))).alias("t")).select("ord", "ts_us", "source_host", "account", "t.*")
     alias = F.lower(F.regexp_replace("token", r"\.+$", ""))
     resolved = named.join(aliases(events), alias == F.col("alias")).where("target_host <> source_host").withColumn("service", T.service_name(F.col("service")))
-    commands = resolved.groupBy("ord", "ts_us", "source_host", "account", "target_host", "method", "operation", "service").agg(F.count("*").alias("times"))
-    commands = commands.withColumn("command", F.concat_ws("\0", "ord", "target_host", "method", "operation", "service")).drop("times")
+    commands = resolved.select(*_COMMAND).distinct()
 
     has = lambda word: F.exists(F.concat("texts", F.array(F.coalesce("image", F.lit("")))), lambda t: F.lower(t).contains(word))
-    process = F.col("event_id").isin(*PROCESS_IDS)
-    service_text = F.lower(F.concat_ws("\0", "service", "service_file"))
-    logon = e.where((F.col("event_id") == LOGON_ID) & (F.col("logon_type") == NETWORK_LOGON))
-    same_account = (F.col("account") == "") | (F.col("r_account") == "") | (F.col("account") == F.col("r_account"))
-    defined = e.where(F.col("event_id").isin(*SERVICE_IDS)).withColumn("name", T.service_name(F.col("service"))).where("name <> ''")
-    run = e.where(process).select("ord", "ts_us", "host", F.explode(F.transform("texts", T.command_text)).alias("done"))
-
-    by = lambda *methods: commands.where(F.col("method").isin(*methods))
-    control = by("scm")
-    start = control.where("operation = 'start'").join(_first(control.where("operation = 'start'"), defined.where("service_file <> ''"), "d", F.col("service") == F.col("r_name"), DEFINED_BACK, BACK, True, ("service_file",)), "command")
-    start = start.withColumn("wanted", T.command_text(F.col("d.r_service_file"))).where("wanted <> ''")
-    found = [
-        _first(by("powershell", "psexec"), logon, "logon", same_account),
-        _first(by("powershell"), e.where(process & has("wsmprovhost.exe")), "shell"),
-        _first(by("psexec"), e.where(F.col("event_id").isin(*SERVICE_IDS) & service_text.contains("psexesvc")), "service_seen"),
-        _first(by("psexec"), e.where(process & has("psexesvc")), "process_seen"),
-        _first(control.where("operation = 'create'"), defined, "created", F.col("service") == F.col("r_name")),
-        _first(start, run, "started", F.col("wanted") == F.col("r_done")),
-    ]
-    joined = reduce(lambda left, right: left.join(right, "command", "left"), found, commands)
+    of = lambda kind, value="": F.struct(F.lit(kind).alias("kind"), (F.lit(value) if value == "" else F.col(value)).alias("value"))
+    several = lambda **kinds: F.array_compact(F.array(*[F.when(holds, of(kind, value)) for kind, (holds, value) in kinds.items()]))
+    # An account is equal, or unknown on one side.
+    process, installs, unknown = F.col("event_id").isin(*PROCESS_IDS), F.col("event_id").isin(*SERVICE_IDS), F.col("account") == ""
+    logon = (F.col("event_id") == LOGON_ID) & (F.col("logon_type") == NETWORK_LOGON)
+    named_service = installs & (F.col("name") != "")
+    seen = F.struct("ts_us", "ord", F.col("service_file").alias("file")).alias("seen")
+    kinds = several(
+        logon=(logon & ~unknown, "account"), logon_unknown=(logon & unknown, ""), logon_any=(logon, ""), shell=(process & has("wsmprovhost.exe"), ""), process_seen=(process & has("psexesvc"), ""),
+        service_seen=(installs & F.lower(F.concat_ws("\0", "service", "service_file")).contains("psexesvc"), ""), created=(named_service, "name"), defined=(named_service & (F.col("service_file") != ""), "name"),
+    )
+    evidence = e.withColumn("name", T.service_name(F.col("service"))).select("host", seen, F.inline(kinds))
+    remote, scm = F.col("method").isin("powershell", "psexec"), F.col("method") == "scm"
+    psexec = F.col("method") == "psexec"
+    wanted = several(
+        logon=(remote & ~unknown, "account"), logon_unknown=(remote & ~unknown, ""), logon_any=(remote & unknown, ""), shell=(F.col("method") == "powershell", ""), process_seen=(psexec, ""), service_seen=(psexec, ""),
+        created=(scm & (F.col("operation") == "create"), "service"), defined=(scm & (F.col("operation") == "start"), "service"),
+    )
+    answered = tables.store(_answered(commands.select("*", F.inline(wanted)), evidence, least), "answered")
+    start = answered.where("kind = 'defined'").select(*_COMMAND, F.lit("started").alias("kind"), T.command_text(F.col("found.file")).alias("value")).where("value <> ''")
+    run = e.where(process).select("host", F.lit("started").alias("kind"), F.explode(F.transform("texts", T.command_text)).alias("value"), seen).select("host", "seen", "kind", "value")
+    both = answered.where("kind <> 'defined'").unionByName(_answered(start, run, least))
+    parts = ("logon", "shell", "service_seen", "process_seen", "created", "started")
+    joined = both.groupBy(*_COMMAND).agg(*[F.min(F.when(F.col("kind").startswith(p), F.col("found"))).alias(p) for p in parts])
     proven = (
         F.when(F.col("method") == "powershell", F.col("logon").isNotNull() & F.col("shell").isNotNull())
         .when(F.col("method") == "psexec", F.col("logon").isNotNull() & (F.col("service_seen").isNotNull() | F.col("process_seen").isNotNull()))
         .otherwise(F.col("created").isNotNull() | F.col("started").isNotNull())
     )
-    parts = ("logon", "shell", "service_seen", "process_seen", "created", "started")
-    evidence = F.array_compact(F.array(*[F.col(f"{p}.r_ord") for p in parts]))
-    times = F.array_compact(F.array("ts_us", *[F.col(f"{p}.r_ts_us") for p in parts]))
+    evidence = F.array_compact(F.array(*[F.col(f"{p}.ord") for p in parts]))
+    times = F.array_compact(F.array("ts_us", *[F.col(f"{p}.ts_us") for p in parts]))
     shaped = joined.where(proven).select(F.col("ord").alias("source_ord"), "ts_us", "source_host", "target_host", "method", "operation", "service", evidence.alias("evidence"), F.array_min(times).alias("start_us"), F.array_max(times).alias("end_us"))
-    same = Window.partitionBy("source_host", "target_host", "method", "operation", "service", "evidence").orderBy("ts_us", "source_ord")
-    return shaped.withColumn("place", F.row_number().over(same)).where("place = 1").drop("place", "ts_us")
+    same = ("source_host", "target_host", "method", "operation", "service", "evidence")
+    first = F.min(F.struct("ts_us", "source_ord", "start_us", "end_us")).alias("first")
+    return shaped.groupBy(*same).agg(first).select("first.source_ord", *same, "first.start_us", "first.end_us")
 
 
 def chain_id() -> Column:
