@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 # What redaction masks, in this order, and the forms of indicators.
 REDACTED = ("mimikatz", "invoke-?mimikatz", r"-enc(odedcommand)?\b", r"new-object\s+net\.webclient", "invoke-webrequest|wget|curl")
+_ADDRESS = r"((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))"
+# The value is the first group. Edges of words and blanks are those of ASCII; without case, the long s and the sign of Kelvin are letters s and k.
 INDICATORS = {
-    "url": r"(?i)https?://[^\s'\"<>]+",
-    "ip": r"(?<!\d)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d)",
-    "hash": r"\b(?:[A-Fa-f0-9]{32}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{64})\b",
-    "path": r"\b[A-Za-z]:\\[^\s'\"<>|]+",
-    "domain": r"(?i)\b(?:[a-z0-9-]+\.)+(?:local|lan|internal|corp|com|net|org|io|co|kr|dev|cloud|xyz)\b",
+    "url": r"(?i)(http[s\u017f]?://[^\t\n\f\r '\"<>]+)",
+    "ip": rf"(?=\d)(?<!\d){_ADDRESS}(?!\d)",
+    "hash": r"(?=[A-Fa-f0-9]{32})\b([A-Fa-f0-9]{32}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{64})\b",
+    "path": r"([A-Za-z]:\\(?<![A-Za-z0-9_][A-Za-z]:\\)[^\t\n\f\r '\"<>|]+)",
+    "domain": r"(?i)\b((?:[a-z0-9\x02\x03-]+\.)+(?:local|lan|internal|corp|com|net|org|io|co|[k\x03]r|dev|cloud|xyz))\b",
 }
+# Addresses that use up the character on each side, so that of two with one character between them the first is found.
+APART = INDICATORS | {"ip": rf"(?=\d)(?:^|(?!\G)(?<!\d)){_ADDRESS}(?:\D|\z)"}
+# Java's edges of words know letters of all scripts, so hashes and domains are looked for in texts whose other characters are one \x01.
+_LONG_S_AND_KELVIN, _KEPT = "\u017f\u212a", "\x02\x03"
+_MARKS = {"url": "://", "path": ":\\"}  # without which a text has none
 HASH_KINDS = {32: "md5", 40: "sha1", 64: "sha256"}
 WRAPPING = "\"'()[]{}<>.,; \t\r\n"
 
@@ -139,17 +146,21 @@ def event_key(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
 
-def indicators(text: Column, kinds: tuple[str, ...] = tuple(INDICATORS)) -> Column:
+def indicators(text: Column, kinds: tuple[str, ...] = tuple(INDICATORS), patterns: dict[str, str] = INDICATORS) -> Column:
     """Array of (kind, value) for each indicator in a text, once per place."""
 
-    def of(kind: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(INDICATORS[kind]), F.lit(0))
+    def of(kind: str, ascii: Column) -> Column:
+        found = F.regexp_extract_all(ascii if kind in ("hash", "domain") else text, F.lit(patterns[kind]), F.lit(1))
+        if kind in _MARKS:
+            found = F.when(F.contains(text, F.lit(_MARKS[kind])), found).otherwise(F.array().cast("array<string>"))
         if kind == "domain":
-            found = F.transform(found, F.lower)
+            found = F.transform(found, lambda v: F.lower(F.translate(v, _KEPT, _LONG_S_AND_KELVIN)))
         trimmed = F.filter(F.transform(found, lambda v: F.btrim(v, F.lit(WRAPPING))), lambda v: v != "")
         if kind != "hash":
             return F.transform(trimmed, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
         named = lambda v: F.when(F.length(v) == 32, HASH_KINDS[32]).when(F.length(v) == 40, HASH_KINDS[40]).otherwise(HASH_KINDS[64])
         return F.transform(trimmed, lambda v: F.struct(named(v).alias("kind"), F.lower(v).alias("value")))
 
-    return F.concat(*[of(kind) for kind in kinds])
+    plain = (F.octet_length(text) == F.char_length(text)) & ~F.contains(text, F.lit(_KEPT[0])) & ~F.contains(text, F.lit(_KEPT[1]))
+    ascii = F.when(plain, text).otherwise(F.regexp_replace(F.translate(text, _KEPT + _LONG_S_AND_KELVIN, "\x01\x01" + _KEPT), r"[^\x00-\x7F]+", "\x01"))
+    return F.get(F.transform(F.array(ascii), lambda a: F.concat(*[of(kind, a) for kind in kinds])), F.lit(0))

@@ -68,9 +68,9 @@ def hours(findings: DataFrame) -> DataFrame:
     return findings.groupBy(label.alias("hour")).agg(F.count("*").alias("n"))
 
 
-def indicator_counts(rows: DataFrame, texts: Sequence[str], kinds: Sequence[str] = tuple(T.INDICATORS)) -> DataFrame:
+def indicator_counts(rows: DataFrame, texts: Sequence[str], kinds: Sequence[str] = tuple(T.INDICATORS), patterns: dict[str, str] = T.INDICATORS) -> DataFrame:
     """Each indicator in the text columns with its number of places, and first and last ``timestamp``."""
-    found = F.concat(*[T.indicators(F.coalesce(c, F.lit("")), tuple(kinds)) for c in texts])
+    found = F.concat(*[T.indicators(F.coalesce(c, F.lit("")), tuple(kinds), patterns) for c in texts])
     return rows.select("timestamp", F.inline(found)).groupBy("kind", "value").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
 
 
