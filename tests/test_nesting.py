@@ -45,3 +45,15 @@ def test_faults_and_assignments(spark):
     members = spark.createDataFrame([("u1", True, " Admin ", "o1"), ("u2", True, None, None), ("u3", True, "viewer", "o2"), ("u4", False, None, None), ("u5", True, "viewer", "")], "member string, active boolean, role string, organization string")
     groups = spark.createDataFrame([("g1", "admin", "o1"), ("g2", "", "o1"), ("g3", "ADMIN", "o1")], "group string, role string, organization string")
     assert sorted(map(tuple, nesting.assignments(members, held, groups).collect())) == [("u1", "admin", "o1"), ("u2", "admin", "o1")]
+
+
+def test_cycles_of_long_lines_take_few_rounds(spark, monkeypatch):
+    """Rings, a closed line with a tail, and rings tied one way: rounds grow with the logarithm of a line, not with its length."""
+    ring = lambda *ids: list(zip(ids, (*ids[1:], ids[0])))
+    edges = [*ring(*range(100)), *ring(*range(200, 260)), (5, 210), (99, 300), (300, 301), (301, 302), (302, 301), *ring(400, 401), (250, 400), (500, 500), (401, 500)]
+    frame = spark.createDataFrame(edges, "parent long, child long")
+    written = []
+    monkeypatch.setattr(nesting, "store", lambda df, name, store=nesting.store: written.append(name) or store(df, name))
+    found = {(r.node, r.cycle) for r in nesting.cycles(frame).collect()}
+    assert found == {*((k, 99) for k in range(100)), *((k, 259) for k in range(200, 260)), (301, 302), (302, 302), (400, 401), (401, 401), (500, 500)}
+    assert len(written) < 150

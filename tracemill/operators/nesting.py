@@ -47,53 +47,88 @@ def trimmed(edges: DataFrame) -> DataFrame:
     """The edges that are left when nodes without an edge into them or out of them are taken away, until there are none: empty without a cycle. Stored."""
     now, n = store(_edges(edges), "core"), -1
     while (left := now.count()) not in (0, n):
-        held = now.join(now.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(now.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        before, now, n = now, store(held.select("parent", "child"), "core"), left
+        before, now, n = now, store(_peeled(now), "core"), left
         discard(before)
     return now
 
 
+def _peeled(edges: DataFrame) -> DataFrame:
+    """The edges without those at a node that none leads into, or none out of."""
+    inside = edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+    return inside.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("parent", "child")
+
+
+def _state(now: DataFrame, *more) -> tuple:
+    return tuple(now.agg(F.count("*"), F.sum(F.xxhash64("node", "value").cast("decimal(38,0)")), *more).first())
+
+
 def _settled(start: DataFrame, step, mark: str) -> DataFrame:
     """``step`` applied until the stored table (node, value) is the same twice."""
     now, seen = store(start, mark), None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("node", "value").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now
+    while (state := _state(now)) != seen:
         before, now, seen = now, store(step(now), mark), state
         discard(before)
+    return now
+
+
+def _greatest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, value): the greatest value among each node and all that reach it. ``nodes``: (node, value). Stored.
+
+    Nodes that one edge only leads into form lines. By doubling steps each learns the greatest value up to
+    the head of its line, which several edges or none lead into; round by round values pass among heads alone.
+    """
+    links = edges.where("parent <> child")
+    into = links.groupBy("child").agg(F.count("*").alias("n"), F.max("parent").alias("to")).where("n = 1")
+    lines = store(into.select(F.col("child").alias("node"), "to").join(nodes, "node").select("node", "to", "value", F.lit(False).alias("headed")), "lines")
+    seen = None
+    # Lines that are closed have no head: their steps go on until no value changes.
+    while (state := _state(lines, F.count_if("headed"))) != seen:
+        ahead = lines.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("value").alias("above"), F.col("headed").alias("above_headed"))
+        met = lines.join(ahead, "to", "left").select(
+            "node", F.coalesce("further", "to").alias("to"), F.greatest("value", F.coalesce("above", "value")).alias("value"), (F.col("headed") | F.col("further").isNull() | F.col("above_headed")).alias("headed")
+        )
+        before, lines, seen = lines, store(met, "lines"), state
+        discard(before)
+    heads = nodes.join(lines.select("node"), "node", "left_anti")
+    onto = links.join(heads.select(F.col("node").alias("child")), "child", "left_semi").join(lines.withColumnRenamed("node", "parent"), "parent", "left")
+    onto = store(onto.select(F.when(F.col("to").isNull(), F.col("parent")).when(F.col("headed"), F.col("to")).alias("from"), "child", "value"), "onto")
+    begin = heads.unionAll(onto.where("value IS NOT NULL").select("child", "value")).groupBy("node").agg(F.max("value").alias("value"))
+    passing = store(onto.where("`from` IS NOT NULL AND `from` <> child").select("from", "child").distinct(), "passing")
+
+    def forward(now: DataFrame) -> DataFrame:
+        passed = passing.join(now.withColumnRenamed("node", "from"), "from").select(F.col("child").alias("node"), "value")
+        return now.unionAll(passed).groupBy("node").agg(F.max("value").alias("value"))
+
+    top = _settled(begin, forward, "heads")
+    ends = lines.join(top.select(F.col("node").alias("to"), F.col("value").alias("above")), "to", "left")
+    every = store(top.select("node", "value").unionAll(ends.select("node", F.greatest("value", F.coalesce("above", "value")))), "greatest")
+    discard(lines, onto, passing, top)
+    return every
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, cycle) of each node that lies on a cycle; nodes that reach one another have one ``cycle``, the greatest of them.
 
-    By colours: every node takes the greatest node that reaches it, going forward; those that its own colour's node
-    is reached from, going back within the colour, are strongly connected. They are taken out, and what is left is trimmed and coloured again.
+    Every node takes the greatest value that reaches it, going forward, and then the greatest going back among
+    those of its own value. Where both are the same, its nodes reach one another: they are taken out. Others stay tied only
+    where both values agree, and go again by other values. Values are hashes anew each time, so that a few rounds do.
     """
     core, found = trimmed(edges), []
     while not core.isEmpty():
-        nodes = core.select(F.col("parent").alias("node")).unionAll(core.select("child")).distinct()
-
-        def forward(now: DataFrame, core=core) -> DataFrame:
-            passed = core.join(now.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "value")
-            return now.unionAll(passed).groupBy("node").agg(F.max("value").alias("value"))
-
-        colour = _settled(nodes.select("node", F.col("node").alias("value")), forward, "colours")
-        inner = core.join(colour.withColumnsRenamed({"node": "parent", "value": "pc"}), "parent").join(colour.withColumnsRenamed({"node": "child", "value": "cc"}), "child").where("pc = cc").select("parent", "child")
-        inner = store(inner, "inner")
-
-        def back(now: DataFrame, inner=inner) -> DataFrame:
-            return now.unionAll(inner.join(now.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node"), "value")).distinct()
-
-        joined = _settled(colour.where("node = value"), back, "connected")
-        loops = core.where("parent = child").select(F.col("parent").alias("node"))
-        several = joined.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-        whole = joined.join(several, "value", "left_semi").select("node", "value").unionAll(joined.join(loops, "node", "left_semi").select("node", "value")).distinct()
-        found.append(store(whole.withColumnRenamed("value", "cycle"), "cycles"))
-        gone = joined.select("node")
-        rest = core.join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").join(gone.withColumnRenamed("node", "child"), "child", "left_anti")
-        before, core = core, trimmed(rest)
-        discard(before, colour, inner, joined)
+        ids = core.select(F.col("parent").alias("node")).unionAll(core.select("child")).distinct()
+        nodes = store(ids.select("node", F.struct(F.xxhash64("node", F.lit(len(found))).alias("hash"), F.col("node").alias("id")).alias("value")), "nodes")
+        colour = _greatest(core, nodes)
+        both = lambda of, edges: edges.join(of.select(F.col("node").alias("parent"), F.col("value").alias("pv")), "parent").join(of.select(F.col("node").alias("child"), F.col("value").alias("cv")), "child").where("pv = cv")
+        inner = store(both(colour, core).select("parent", "child", F.col("pv").alias("colour")), "inner")
+        back = _greatest(inner.select(F.col("child").alias("parent"), F.col("parent").alias("child")), nodes)
+        joined = store(colour.join(back, ["node", "value"], "left_semi"), "connected")
+        loops = core.where("parent = child").select(F.col("parent").alias("node")).join(joined, "node")
+        several = joined.groupBy("value").agg(F.count("*").alias("n"), F.max("node").alias("cycle"))
+        whole = joined.join(several.where("n > 1"), "value").select("node", "cycle").unionAll(loops.select("node", F.col("node").alias("cycle")).join(joined.join(several.where("n = 1"), "value").select("node"), "node", "left_semi"))
+        found.append(store(whole, "cycles"))
+        rest = store(both(back, inner).where("pv <> colour").select("parent", "child"), "core")
+        before, core = core, store(_peeled(rest), "core")
+        discard(before, nodes, colour, inner, back, joined, rest)
     if not found:
         return core.select(F.col("parent").alias("node"), F.col("child").alias("cycle"))
     whole = found[0]
