@@ -164,6 +164,16 @@ def _nodes(records: DataFrame, column: str, events: bool) -> DataFrame:
     return walked.select(*[F.col(c) for c in records.columns], F.concat(*[F.col(f"_{k}") for k in range(DEPTH + 1)]).alias("_nodes"))
 
 
+def _facts(n: Column, e: Column) -> list[Column]:
+    return [_found_names(n, e, "host").alias("host"), _found_names(n, e, "user").alias("user"), _found_sessions(n, e).alias("session")]
+
+
+def _listed(column: str) -> list[Column]:
+    """Sorted distinct hosts, users and sessions of the nodes' facts."""
+    none = _texts()
+    return [F.array_sort(F.array_distinct(F.coalesce(F.flatten(F.col(f"{column}.{k}")), none))).alias(f"{k}s") for k in ("host", "user", "session")]
+
+
 def scopes(records: DataFrame, column: str = "value", events: bool = True) -> DataFrame:
     """The records with sorted arrays ``hosts``, ``users`` and ``sessions``.
 
@@ -171,10 +181,15 @@ def scopes(records: DataFrame, column: str = "value", events: bool = True) -> Da
     its host or user, ``raw`` tells no other one. Otherwise a record is a mapping like those inside it: a target's
     logon is its session before any other, a subject's never, and a canonical session must agree with them.
     """
-    none, kinds = _texts(), ("host", "user", "session")
-    facts = lambda n, e: F.struct(_found_names(n, e, "host").alias("host"), _found_names(n, e, "user").alias("user"), _found_sessions(n, e).alias("session"))
-    told = _nodes(records, column, events).withColumn("_facts", F.transform("_nodes", lambda n: let(_entries(n["v"]), lambda e: facts(n, e))))
-    return told.select(*[F.col(c) for c in records.columns], *[F.array_sort(F.array_distinct(F.coalesce(F.flatten(F.col(f"_facts.{k}")), none))).alias(f"{k}s") for k in kinds])
+    told = _nodes(records, column, events).withColumn("_facts", F.transform("_nodes", lambda n: let(_entries(n["v"]), lambda e: F.struct(*_facts(n, e)))))
+    return told.select(*[F.col(c) for c in records.columns], *_listed("_facts"))
+
+
+def scopes_and_identity(records: DataFrame, column: str = "value", events: bool = True) -> DataFrame:
+    """What :func:`scopes` and :func:`record_identity` add, from one walk through the records."""
+    both = lambda n, e: F.struct(*_facts(n, e), F.when(~n["listed"], _identity(n, e)).alias("met"))
+    told = _nodes(records, column, events).withColumn("_facts", F.transform("_nodes", lambda n: let(_entries(n["v"]), lambda e: both(n, e))))
+    return told.select(*[F.col(c) for c in records.columns], *_listed("_facts"), *_first("_facts.met"))
 
 
 def scope_rows(scoped: DataFrame, key: str) -> DataFrame:
@@ -184,12 +199,7 @@ def scope_rows(scoped: DataFrame, key: str) -> DataFrame:
     return scoped.select(key, F.inline(F.concat(*pairs))).distinct()
 
 
-def record_identity(records: DataFrame, column: str = "value") -> DataFrame:
-    """The records with ``channel`` and ``record_id``: those of the first object in depth-first order, the last field first, that has both.
-
-    ``record_id`` counts as the number of a record only within ``System``. Lists aren't entered.
-    """
-
+def _identity(node: Column, entries: Column) -> Column:
     def held(entries: Column, *names: str) -> Column:
         return F.coalesce(*[F.nullif(F.get(_named(entries, (n,)), F.lit(0))["text"], F.lit("")) for n in names])
 
@@ -197,12 +207,22 @@ def record_identity(records: DataFrame, column: str = "value") -> DataFrame:
         found = F.struct(F.trim(held(entries, "channel")).alias("channel"), F.trim(held(entries, *ids)).alias("record_id"))
         return F.when((found["channel"] != "") & (found["record_id"] != ""), found)
 
-    def identity(node: Column, entries: Column) -> Column:
-        own = pair(entries, "eventrecordid", "event_record_id")
-        system = let(_entries(F.get(_named(entries, ("system",)), F.lit(0))["value"]), lambda s: pair(s, "eventrecordid", "event_record_id", "record_id"))
-        return F.struct(node["path"].alias("path"), F.coalesce(system, own).alias("id"))
+    own = pair(entries, "eventrecordid", "event_record_id")
+    system = let(_entries(F.get(_named(entries, ("system",)), F.lit(0))["value"]), lambda s: pair(s, "eventrecordid", "event_record_id", "record_id"))
+    return F.struct(node["path"].alias("path"), F.coalesce(system, own).alias("id"))
+
+
+def _first(column: str) -> list[Column]:
+    """``channel`` and ``record_id`` of the first identity by path."""
+    first = F.array_min(F.filter(column, lambda m: m["id"].isNotNull()))["id"]
+    return [first["channel"].alias("channel"), first["record_id"].alias("record_id")]
+
 
+def record_identity(records: DataFrame, column: str = "value") -> DataFrame:
+    """The records with ``channel`` and ``record_id``: those of the first object in depth-first order, the last field first, that has both.
+
+    ``record_id`` counts as the number of a record only within ``System``. Lists aren't entered.
+    """
     nodes = F.filter("_nodes", lambda n: ~n["listed"])
-    met = _nodes(records, column, False).withColumn("_met", F.transform(nodes, lambda n: let(_entries(n["v"]), lambda e: identity(n, e))))
-    first = F.array_min(F.filter("_met", lambda m: m["id"].isNotNull()))["id"]
-    return met.select(*[F.col(c) for c in records.columns], first["channel"].alias("channel"), first["record_id"].alias("record_id"))
+    met = _nodes(records, column, False).withColumn("_met", F.transform(nodes, lambda n: let(_entries(n["v"]), lambda e: _identity(n, e))))
+    return met.select(*[F.col(c) for c in records.columns], *_first("_met"))
