@@ -61,6 +61,25 @@ def test_every_pair(spark, tables, max_rows):
     assert all(0.8 <= found[k][0] <= wanted[k][0] for k in found) and sum(found[k][0] == wanted[k][0] for k in found) > 0.8 * len(found)
 
 
+@pytest.mark.parametrize("max_rows", [decontamination.MAX_BROADCAST_ROWS, 0])
+def test_every_window(spark, tables, max_rows):
+    """The best window and the number of all similar ones, among windows from every word on, also where items are alike and a text repeats one."""
+    docs, items = tables
+    docs = docs | {900: items[2] * 3, 901: items[3][:-5], 902: items[4][3:] + ["x"] * 70, 903: items[1][:16] + ["y"], 904: ["p"] * 100, 905: items[0][:10] + ["z"] + items[0][11:]}
+    items = items | {20: items[2][:-1] + ["other"], 21: ["p"] * 30, 22: ["p"] * 3}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start, r.n_windows) for r in decontamination.contaminated(frame, bench, max_broadcast_rows=max_rows).collect()}
+    wanted = collections.Counter()
+    for d, text in docs.items():
+        for k, item in items.items():
+            for start in range(max(1, len(text) - len(item) + 1)):
+                window = text[start : start + len(item)]
+                wanted[d, k] += bool(window) and similarity(shingles(window), shingles(item)) >= 0.8
+    best = expected(docs, items)
+    assert found == {k: (round(best[k][0], 9), best[k][1], n) for k, n in wanted.items() if n}
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (None, None)], "item_id long, text string")
     docs = spark.createDataFrame([(None, "x a b c d e f g"), (3, "A B C D E F G y"), (3, "A B C D E F G y"), (4, None), (5, "")], "doc_id long, text string")

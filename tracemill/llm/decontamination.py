@@ -1,23 +1,23 @@
 """Benchmark decontamination by SimHash over item-sized windows. DataFrame functions only.
 
-For every place where a document shares a word shingle with a benchmark item, the window of as many
-words as the item has, aligned on that shingle, gets a 64-bit SimHash of its weighted shingles (weight:
-how often the window holds the shingle). Fingerprints are matched against those of all items of that
-window size by multi-index Hamming blocks: with ``radius + 1`` blocks, two fingerprints within the
-radius agree in one block at least, so none is missed. What matches is verified by exact weighted
-Jaccard similarity over five-word shingles.
-
-Places are looked up at every ``stride``-th shingle of a document. A window of m shingles with
-similarity s has at most (1 - s) / (1 + s) * m shingles foreign to the item, so the stride is set from
-the shortest item such that one shared shingle is always looked up; nothing is sampled away. Items of
-fewer than five words are looked up by every run of their own length.
+Every window of as many words as an item has, from every word on, that can reach the similarity gets a
+64-bit SimHash of its weighted shingles (weight: how often the window holds the shingle). Fingerprints are
+matched against those of all items of that window size by multi-index Hamming blocks: with ``radius + 1``
+blocks, two fingerprints within the radius agree in one block at least, so none is missed. What matches is
+verified by exact weighted Jaccard similarity over five-word shingles.
+
+Which windows can: a window of m shingles with similarity s has at most (1 - s) / (1 + s) * m shingles
+foreign to the item. So documents are looked up at every ``stride``-th shingle, set from the shortest item
+such that one shared shingle of each such window is always looked up. A place found leads to the two stretches
+of m starts (at multiples of m) that the windows over it begin in; of their windows those with no more foreign
+places than that are kept, all of them. Items of fewer than five words are looked up by every run of their own length.
 
 At a similarity of 0.8 two windows' fingerprints differ in some 10 of 64 bits, so no block that must agree
-by the pigeonhole can be wider than 64 / (radius + 1) bits: the places select the windows, the blocks make
+by the pigeonhole can be wider than 64 / (radius + 1) bits: the bound leaves out windows, the blocks make
 sure that no item within the radius is missed, and the exact similarity decides. A radius of 20 loses about
 3 in 10,000 windows whose similarity is just 0.8.
 
-Everything but the final grouping happens in the tasks that read the documents: the item tables are
+Two shuffles move the stretches found and the pairs, not the documents: the item tables are
 broadcast while they have at most ``MAX_BROADCAST_ROWS`` rows, and joined by shuffle beyond.
 
 Defined cases: null or empty texts and items match nothing; an item or document of fewer than five
@@ -68,11 +68,10 @@ def block_masks(radius: int = RADIUS) -> list[int]:
 
 
 def _fingerprinted(df: DataFrame) -> DataFrame:
-    """Adds shingles (as a sorted multiset written as a set), size and fingerprint to rows with ``words``."""
-    keep = [c for c in df.columns if c != "words"]
-    hashed = df.select(*keep, shingle_hashes(F.col("words")).alias("hashes"))
-    counted = hashed.select(*keep, F.sort_array("hashes").alias("hashes"), simhash(F.col("hashes")).alias("counts"))
-    return counted.select(*keep, occurrences(F.col("hashes")).alias("shingles"), _fingerprint(F.col("counts"), F.size("hashes")).alias("fingerprint"))
+    """Adds shingles (as a sorted multiset written as a set) and fingerprint to rows with ``hashes``, which stay, sorted."""
+    keep = [c for c in df.columns if c != "hashes"]
+    counted = df.select(*keep, F.sort_array("hashes").alias("hashes"), simhash(F.col("hashes")).alias("counts"))
+    return counted.select(*keep, "hashes", occurrences(F.col("hashes")).alias("shingles"), _fingerprint(F.col("counts"), F.size("hashes")).alias("fingerprint"))
 
 
 def _blocks(masks: list[int]) -> Column:
@@ -87,10 +86,10 @@ def _runs(words: Column, size: int) -> Column:
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_windows) of every document that holds an item; start counts words from 0.
 
-    Similarity and start are those of the best window among the ``n_windows`` that lie on a looked-up shingle.
+    Similarity and start are those of the best window, ``n_windows`` counts all that are similar.
     """
     item_words = items.select("item_id", words_of(text_of()).alias("words")).where(F.size("words") > 0)
-    known = store(_fingerprinted(item_words.select("item_id", "words", F.size("words").alias("n_words"))), "items")
+    known = store(_fingerprinted(item_words.select("item_id", F.size("words").alias("n_words"), shingle_hashes(F.col("words")).alias("hashes"))), "items")
     shape = known.agg(F.min(F.when(F.col("n_words") >= SIZE, F.col("n_words"))).alias("least"), F.array_sort(F.collect_set(F.when(F.col("n_words") < SIZE, F.col("n_words")))).alias("short"), F.sum(F.size("shingles")).alias("shingles"), F.count(F.lit(1)).alias("n")).first()
     if not shape["n"]:
         return docs.join(items.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).cast("long").alias("n_windows"))
@@ -99,31 +98,44 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     small = max(shape["shingles"], shape["n"] * (radius + 1)) <= max_broadcast_rows
     dealt = F.broadcast if small else (lambda side: side)
 
-    # Where an item may lie: (shingle, its place in the item, the item's size), once however many items share it.
-    places = item_words.select(F.size("words").alias("n_words"), F.posexplode(shingle_hashes(F.col("words"))).alias("place", "shingle")).distinct()
+    # What windows are held against, once however many items are alike; m is the number of shingles.
+    contents = known.select(F.xxhash64("n_words", "hashes").alias("content"), "n_words", (F.col("n_words") - (SIZE - 1)).alias("m"), F.array_distinct("hashes").alias("own")).where(F.col("n_words") >= SIZE).dropDuplicates(["content"])
+    places = contents.select("content", "n_words", "m", F.explode("own").alias("shingle"))
     worded = docs.select("doc_id", words_of(text_of()).alias("words")).where(F.size("words") > 0)
-    n = F.size("words")
-    looked_up = F.when(n >= SIZE, F.transform(F.sequence(F.lit(1), n - (SIZE - 1), F.lit(stride)), lambda i: F.xxhash64(F.slice(F.col("words"), i, SIZE)))).otherwise(F.array(F.xxhash64("words")))
-    hits = worded.select("doc_id", "words", F.posexplode(looked_up).alias("k", "shingle")).join(dealt(places), "shingle")
-    start = F.greatest(F.lit(0), F.least(F.col("k") * stride - F.col("place"), n - F.col("n_words")))
-    windows = hits.select("doc_id", "n_words", start.alias("start"), F.slice("words", start + 1, F.col("n_words")).alias("words"))
-    for size in shape["short"]:  # at most SIZE - 1 lengths
-        each = worded.where(n >= size).select("doc_id", F.posexplode(_runs(F.col("words"), size)).alias("start", "words")).withColumn("shingle", F.xxhash64("words"))
-        own = places.where(F.col("n_words") == size).select("n_words", "shingle")
-        windows = windows.unionByName(each.join(dealt(own), "shingle").select("doc_id", "n_words", "start", "words"))
-    windows = windows.distinct()
+    n, m, size = F.size("words"), F.col("m"), F.col("n_words")
+    looked_up = F.transform(F.sequence(F.lit(1), n - (SIZE - 1), F.lit(stride)), lambda i: F.xxhash64(F.slice(F.col("words"), i, SIZE)))
+    hits = worded.where(n >= SIZE).select("doc_id", "words", F.posexplode(looked_up).alias("k", "shingle")).join(dealt(places), "shingle")
+    last = F.floor(F.col("k") * stride / m).cast("int")
+    over = hits.select("doc_id", "words", "content", "n_words", "m", F.explode(F.array(last - 1, last)).alias("stretch"))
+    begin = F.col("stretch") * m
+    stretches = over.where((F.col("stretch") == 0) | (F.col("stretch") > 0) & (begin + size <= n)).select("doc_id", "content", begin.alias("begin"), F.slice("words", begin + 1, m + size - 1).alias("words")).distinct()
+
+    hashed = stretches.select("doc_id", "content", "begin", n.alias("n"), shingle_hashes(F.col("words")).alias("hashes")).join(dealt(contents), "content")
+    found_at = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.array_contains("own", F.get("hashes", i)))
+    placed = hashed.select("doc_id", "n_words", "m", "begin", "n", "hashes", found_at.alias("at"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(m - 1, F.col("n") - size)))
+    length = F.least(m, F.size("hashes"))
+    least = similarity / (1 + similarity) * (m + length) - 1e-9  # of shared shingles
+    kept = F.filter(starts, lambda s: F.size(F.filter("at", lambda i: (i >= s) & (i < s + length))) >= least)
+    windows = placed.select("doc_id", "n_words", "begin", "hashes", length.alias("length"), F.explode(kept).alias("s"))
+    windows = windows.select("doc_id", "n_words", (F.col("begin") + F.col("s")).alias("start"), F.slice("hashes", F.col("s") + 1, F.col("length")).alias("hashes"))
+    for few in shape["short"]:  # at most SIZE - 1 lengths
+        each = worded.where(n >= few).select("doc_id", F.posexplode(_runs(F.col("words"), few)).alias("start", "run")).select("doc_id", "start", F.array(F.xxhash64("run")).alias("hashes"))
+        own = known.where(size == few).select("n_words", F.get("hashes", F.lit(0)).alias("shingle")).distinct()
+        windows = windows.unionByName(each.join(dealt(own), F.get("hashes", F.lit(0)) == F.col("shingle")).select("doc_id", "n_words", "start", "hashes"))
 
     masks = block_masks(radius)
-    seen = _fingerprinted(windows)
+    seen = _fingerprinted(windows.withColumn("window", F.xxhash64("hashes"))).drop("hashes")
     left = seen.select("*", _blocks(masks).alias("block", "value"))
     right = known.select("item_id", "n_words", F.col("shingles").alias("item_shingles"), F.col("fingerprint").alias("item_fingerprint"), _blocks(masks).alias("block", "value"))
     apart = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
     earlier = F.slice(F.array(*[F.lit(m).cast("long") for m in masks]), F.lit(1), F.col("block"))
     near = left.join(dealt(right), ["n_words", "block", "value"]).where((F.bit_count(apart) <= radius) & F.forall(earlier, lambda m: apart.bitwiseAND(m) != 0))
     shared = F.size(F.array_intersect("shingles", "item_shingles"))
-    scored = near.select("doc_id", "item_id", "start", (shared / (F.size("shingles") + F.size("item_shingles") - shared)).alias("similarity"))
+    scored = near.select("doc_id", "item_id", "start", "window", (shared / (F.size("shingles") + F.size("item_shingles") - shared)).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"))).alias("best")
-    found = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(best, F.count(F.lit(1)).alias("n_windows"))
+    # A window that several contents lead to, and one of a repeated row, counts once.
+    found = scored.where(F.col("similarity") >= similarity).distinct().groupBy("doc_id", "item_id").agg(best, F.count(F.lit(1)).alias("n_windows"))
     return found.select("doc_id", "item_id", "best.similarity", (-F.col("best.at")).alias("start"), "n_windows")
 
 
