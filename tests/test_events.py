@@ -284,3 +284,13 @@ def test_demonstrations_and_adapters(spark, tmp_path):
     assert (row.timestamp, row.event_id, row.command_line, row.hashes, row.event_data) == ("u", "1", "x", "MD5=1", {"CommandLine": "x"})
     nodes = json.dumps({"bsf": [{"id": "s", "nodetype": "step", "events": ["e1"], "techniques": [{"technique_id": "T1"}]}, {"id": "e1", "nodetype": "event", "host": "h", "time": "t"}, {"id": "e2", "nodetype": "event"}]})
     assert [tuple(r)[1:5] for r in artifacts.ground_truth(spark.createDataFrame([(1, nodes)], "record long, value string")).collect()] == [("s", "T1", "h", "t")]
+
+
+def test_windows_xml_reads_each_record_once(spark):
+    from tracemill.sources import windows_xml
+
+    good = "<e:Event xmlns:e='u'><e:System><e:EventID>7</e:EventID></e:System><e:EventData><e:Data Name='a'>1</e:Data><e:Data Name='A'>2</e:Data><e:Data Name='a'>3</e:Data></e:EventData></e:Event>"
+    frame = spark.createDataFrame([(1, good), (2, "<Event><Other/></Event>"), (3, "not xml"), (4, None)], "ord long, xml string").cache()
+    read = windows_xml.events(frame)
+    assert [(r.ord, r.event_id, json.loads(r.raw)["event_data"], json.loads(r.raw)["event_data_lists"]) for r in read.collect()] == [(1, "7", {"a": "1", "A": "2"}, {"a": ["1", "3"]})]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1

@@ -49,14 +49,16 @@ def events(frames: DataFrame) -> DataFrame:
     text. The first command line and the first user of the data win; the source is the provider.
     """
     # Namespaces only make names longer: they are dropped before reading.
-    bare = F.regexp_replace(F.regexp_replace("xml", r"\sxmlns(?::\w+)?=(\"[^\"]*\"|'[^']*')", ""), r"(</?)\w+:(\w)", "$1$2")
-    read = frames.select("ord", bare.alias("bare")).select("ord", "bare", F.from_xml("bare", SCHEMA, {"rowTag": "Event", "mode": "PERMISSIVE"}).alias("e")).where("e.System IS NOT NULL")
+    bare = F.regexp_replace(F.regexp_replace("xml", r"\sxmlns(?::\w+)?=(\"[^\"]*\"|'[^']*')", ""), r"(</?)\w++:(\w)", "$1$2")
+    # A condition on the record would read it once more before it is read for the columns; as a list of one it is read once.
+    record = F.filter(F.array(F.from_xml("bare", SCHEMA, {"rowTag": "Event", "mode": "PERMISSIVE"})), lambda e: e["System"].isNotNull())
+    read = frames.select("ord", bare.alias("bare")).select("ord", "bare", F.explode(record).alias("e"))
     data = F.col("e.EventData.Data")
-    several = grouped(data)
-    single = F.transform_values(several, lambda _, v: v[0])
     unnamed = F.transform(F.filter(F.coalesce(data, F.array().cast("array<struct<_Name:string,_VALUE:string>>")), lambda d: d["_Name"].isNull()), lambda d: F.coalesce(d["_VALUE"], F.lit("")))
     user_data = F.nullif(F.regexp_extract("bare", r"(?s)<UserData[^>]*>(.*)</UserData>", 1), F.lit(""))
-    parsed = read.select("ord", "e", several.alias("several"), single.alias("d"), unnamed.alias("unnamed"), user_data.alias("user_data"), F.coalesce(F.col("e.System.EventID._VALUE"), _xpath("Event/System/EventID")).alias("id"))
+    listed = read.select("ord", "bare", "e", grouped(data).alias("several"))
+    single = F.transform_values("several", lambda _, v: v[0])
+    parsed = listed.select("ord", "e", "several", single.alias("d"), unnamed.alias("unnamed"), user_data.alias("user_data"), F.coalesce(F.col("e.System.EventID._VALUE"), _xpath("Event/System/EventID")).alias("id"))
     s = F.col("e.System")
     system = F.struct(
         s["Provider"]["_Name"].alias("ProviderName"), s["Provider"]["_Guid"].alias("ProviderGuid"), F.col("id").alias("EventID"), *[s[c].alias(c) for c in ("Version", "Level", "Task", "Opcode", "Keywords", "EventRecordID", "Channel", "Computer")],
