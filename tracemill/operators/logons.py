@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
 
-from . import sessions
+from . import sessions, tables
 from .correlation import SECOND, chain_confidence, severity_weight
 from .segments import Fold, Line
 
@@ -45,8 +45,9 @@ def lifecycles(events: DataFrame, least: int | None = None) -> DataFrame:
     first = own.groupBy("host_key", "session", "key").agg(F.min(F.struct("ord", "ts_us", "event_id", "host", "user")).alias("e")).select("host_key", "session", "key", "e.*")
     at = F.coalesce("event_id", F.lit(""))
     logon, mark = at == LOGON, F.when(at == LOGOFF, False).when(at == LOGON, True)
-    ranked = first.withColumn("rank", F.when(logon, 0).when(at == LOGOFF, 2).otherwise(1))
-    line = Line(ranked, ["host_key", "session"], ["ts_us", "rank", "key"], least).fold(
+    ranked = first.select("host_key", "session", "key", "ord", "ts_us", "event_id", F.when(logon, 0).when(at == LOGOFF, 2).otherwise(1).alias("rank"))
+    # A line counts its rows by key, and deals and reads them again: they are worked out once.
+    line = Line(tables.store(ranked, "logons"), ["host_key", "session"], ["ts_us", "rank", "key"], least).fold(
         open=Fold("last", mark, own=False), start_key=Fold("last", F.when(logon, F.col("key"))), then=Fold("first", at, own=False), logons=Fold("total", logon.cast("long"))
     )
     # After a logon the next event, unless it is one as well, is of the same lifecycle.
@@ -66,7 +67,10 @@ def activities(events: DataFrame, findings: DataFrame) -> DataFrame:
     bare = events.where("session IS NULL AND ts_us IS NOT NULL").where(~F.col("event_id").isin(*AUTHENTICATION))
     named = bare.withColumn("host_key", F.lower(F.trim("host"))).withColumn("user_key", F.lower(F.trim("user"))).where("host_key <> '' AND user_key <> ''")
     seen = named.join(findings.select("ord").distinct(), "ord", "left_semi").withColumn("scope", F.concat_ws("\0", "host_key", "user_key"))
-    anchored = sessions.from_anchor(seen, "scope", ACTIVITY_SECONDS)
+    # Both are read several times, by the counts of keys and of chains too.
+    own = tables.store(seen.select("scope", "ord", "ts_us"), "activity")
+    anchored = tables.store(sessions.from_anchor(own, "scope", ACTIVITY_SECONDS), "activity")
+    tables.discard(own)
     several = anchored.groupBy("scope", "anchor_us").agg(F.count("*").alias("n")).where("n > 1")
     host, user = F.split("scope", "\0")[0], F.split("scope", "\0")[1]
     chain = F.concat_ws("_", F.lit("activity"), host, user, "anchor_us")
